@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -91,16 +95,33 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is set, as in
-    tests, one beside the warehouse is used.
+    It lies in the folder that the cluster names in spark.checkpoint.dir. Only where none is named
+    is another taken: on one machine a temporary folder, else one in the warehouse.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or os.path.join(
-            df.sparkSession.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "..", "checkpoints"
-        )
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        base = tempfile.mkdtemp(prefix="tallyproof-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tallyproof-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, at: list[str] | None = None) -> DataFrame:
+    """Write the rows once to the shared folder and go on from the written table; at gets its path."""
+    where = shared_folder(df.sparkSession)
+    df.write.parquet(where)
+    if at is not None:
+        at.append(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def drop_cut(spark: SparkSession, at: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while at:
+        path = jvm.org.apache.hadoop.fs.Path(at.pop())
+        path.getFileSystem(conf).delete(path, True)

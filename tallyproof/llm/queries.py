@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import chat_format, html_text, media, quality_rules, sp_codec, token_prefix, toxicity
+from tallyproof.llm import chat_format, html_text, media, near_dup, quality_rules, sp_codec, token_prefix, toxicity
 from tallyproof.llm.common import map_rows, read
 
 
@@ -64,6 +64,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), w=4)
+
+
 #: A conversation whose texts hold what templates use as control strings.
 CONFLICT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -97,7 +101,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_sentencepiece, op3_media_columns, op5_quality_rules, op6_token_counts, op9_chat_format, op10_html_extraction,
+        op1_toxicity, op2_sentencepiece, op3_media_columns, op5_quality_rules, op6_token_counts, op7_minhash_near_dedup, op9_chat_format, op10_html_extraction,
     )
 }
 
