@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import chat_format, html_text, media, near_dup, quality_rules, sp_codec, token_prefix, toxicity
+from tallyproof.llm import chat_format, html_text, media, near_dup, quality_rules, sp_codec, suffix_dedup, token_prefix, toxicity
 from tallyproof.llm.common import map_rows, read
 
 
@@ -52,6 +52,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -101,7 +107,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_sentencepiece, op3_media_columns, op5_quality_rules, op6_token_counts, op7_minhash_near_dedup, op9_chat_format, op10_html_extraction,
+        op1_toxicity, op2_sentencepiece, op3_media_columns, op4_suffix_dedup, op5_quality_rules, op6_token_counts, op7_minhash_near_dedup, op9_chat_format, op10_html_extraction,
     )
 }
 
