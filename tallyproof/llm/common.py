@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow batch sent to Python: some texts are very long, so batches stay small.
 BATCH_ROWS = 256
+#: Stands for a null doc_id where documents have an order: after all others.
+LAST_DOC = 2**63 - 1
 
 
 class Recent:

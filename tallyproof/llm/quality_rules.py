@@ -96,15 +96,15 @@ def repeated_words(words: Column) -> Column:
     return bound(bound(windows, starts), covered)
 
 
-def metrics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text and the counts and ratios that rules may name."""
+def metrics(df: DataFrame, key: str = "doc_id", text: str = "text", carry: list[Column] | None = None) -> DataFrame:
+    """doc_id, the counts and ratios that rules may name, and carried columns as one struct (row)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = df.select(F.col(key).alias("doc_id"), t.alias("text"))
-    split = base.select("doc_id", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
+    base = df.select(F.col(key).alias("doc_id"), t.alias("text"), F.struct(*(carry or [F.lit(0)])).alias("row"))
+    split = base.select("doc_id", "row", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
     full = F.filter("lines", lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     counted = split.select(
         "doc_id",
-        "text",
+        "row",
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
@@ -115,7 +115,7 @@ def metrics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     return counted.select(
         "doc_id",
-        "text",
+        "row",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -140,12 +140,24 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*broken))
 
 
-def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(
+    df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", carry: list[Column] | None = None
+) -> DataFrame:
     """metrics() with base_failed, failed_rules and kept."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        metrics(df, key, text)
+        metrics(df, key, text, carry)
         .withColumn("base_failed", base)
         .withColumn("failed_rules", compile_rules(rules))
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     )
+
+
+def kept_rows(df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, all its columns, that the rules keep; each row is judged where it lies, without a join.
+
+    A filter would be pushed below the projection, with a copy of every expression in it, each
+    computed again at every use; a generator of one row or none isn't.
+    """
+    judged = judge(df, rules, key, text, [F.col(c) for c in df.columns])
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")

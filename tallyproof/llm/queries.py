@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import chat_format, html_text, media, near_dup, quality_rules, sp_codec, suffix_dedup, token_prefix, toxicity
+from tallyproof.llm import chat_format, html_text, media, mixing, near_dup, quality_rules, sp_codec, suffix_dedup, token_prefix, toxicity
 from tallyproof.llm.common import map_rows, read
 
 
@@ -74,6 +74,21 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), w=4)
 
 
+#: Domains of a labelled document: toxic, else of high or of low quality.
+DOMAINS = ("high", "low", "toxic")
+#: Parts of all tokens that the domains are to have.
+WEIGHTS = (0.80, 0.15, 0.05)
+
+
+def domain():
+    return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), domain(), list(WEIGHTS))
+    return rows.select("doc_id", "tokens", *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies")
+
+
 #: A conversation whose texts hold what templates use as control strings.
 CONFLICT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -107,7 +122,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_sentencepiece, op3_media_columns, op4_suffix_dedup, op5_quality_rules, op6_token_counts, op7_minhash_near_dedup, op9_chat_format, op10_html_extraction,
+        op1_toxicity, op2_sentencepiece, op3_media_columns, op4_suffix_dedup, op5_quality_rules, op6_token_counts, op7_minhash_near_dedup, op8_mixing, op9_chat_format, op10_html_extraction,
     )
 }
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm import rolling
-from tallyproof.llm.common import cut, docs_of, map_rows, ship_code
+from tallyproof.llm.common import LAST_DOC, cut, docs_of, map_rows, ship_code
 
 U = np.uint64
 SIZE = 100
@@ -54,7 +54,6 @@ SEGMENT = 1 << 23
 GROUP = 20_000
 #: Context bytes that are put in suffix order together.
 SORT_BYTES = 1 << 23
-LAST_ID = np.iinfo(np.int64).max
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -145,7 +144,7 @@ def find_anchors(docs: DataFrame, size: int) -> DataFrame:
                     continue
                 data = np.frombuffer(data, np.uint8)
                 h, c, lo, hi = of_text(data, size)
-                doc = doc.as_py() if doc.is_valid else LAST_ID
+                doc = doc.as_py() if doc.is_valid else LAST_DOC
                 rows.append((h, c, np.full(len(h), doc, np.int64), lo, hi))
                 held += len(data)
                 if held >= BATCH_BYTES:
@@ -318,7 +317,7 @@ def with_context(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """rows (kind 2 and 3) with the bytes of their contexts."""
     lists = rows.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("kind", "h", "lo", "hi")).alias("rows"))
     # Rows that share a doc_id are one document.
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text").where(F.length("text") >= size)
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST_DOC)).alias("doc_id"), "text").where(F.length("text") >= size)
     both = texts.join(lists, "doc_id").dropDuplicates(["doc_id"])
 
     def start():
@@ -408,11 +407,27 @@ def spans(ranges, n: int, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
+def cut_text(text: str | None, ranges, size: int = SIZE) -> str | None:
+    """The text without the ranges' windows; a code point goes only if all its bytes do."""
+    if not text or not ranges:
+        return text
+    data, at, kept = text.encode(), 0, []
+    for a, b in spans([(x["lo"], x["hi"]) for x in ranges], len(data), size):
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        kept.append(data[at:a])
+        at = b
+    kept.append(data[at:])
+    return b"".join(kept).decode()
+
+
 def remove_repeats(df: DataFrame, size: int = SIZE, group: int = GROUP, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start and end of each removed run) and kept (bytes that stay)."""
     docs = docs_of(df, key, text)
     found = repeats(docs, size, group)
-    both = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST_ID))).join(found, "doc", "left").select("doc_id", "text", "ranges")
+    both = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST_DOC))).join(found, "doc", "left").select("doc_id", "text", "ranges")
 
     def start():
         def one(text, ranges):
