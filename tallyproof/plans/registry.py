@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tallyproof.plans import arithmetic
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**arithmetic.Q}
+ORACLE_SQL: dict[str, str] = {**arithmetic.SQL}
