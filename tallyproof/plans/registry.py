@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyproof.plans import arithmetic
+from tallyproof.plans import arithmetic, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**arithmetic.Q}
-ORACLE_SQL: dict[str, str] = {**arithmetic.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**arithmetic.Q, **records.Q}
+ORACLE_SQL: dict[str, str] = {**arithmetic.SQL, **records.SQL}
