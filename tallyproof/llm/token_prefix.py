@@ -18,6 +18,8 @@ ties are counted each; an empty table gives an empty result; other columns are n
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -25,7 +27,7 @@ from tallyproof.llm.common import Recent, docs_of, map_rows
 from tallyproof.llm.pieces import Pieces, load, model_path
 
 #: Entries a worker keeps of units and of token pairs, in each of two generations.
-CACHE = 250_000
+CACHE = 400_000
 #: Units longer than this aren't kept.
 KEEP_CHARS = 48
 
@@ -51,22 +53,25 @@ class PrefixCounter:
         return parts
 
     def keeps_apart(self, left: str, right: str) -> bool:
-        known = self.apart.get((left, right))
-        if known is None:
-            known = self.merge(left + right) == ([left, right] if left else [right])
-            self.apart.put((left, right), known)
+        """Does the encoding of both together keep them as two tokens."""
+        known = self.merge(left + right) == ([left, right] if left else [right])
+        self.apart.put((left, right), known)
         return known
 
     def prefixes(self, unit: str) -> list[int]:
         """counts[i]: tokens of the unit's first i code points."""
-        score, longest, apart = self.pieces.score, self.pieces.longest, self.keeps_apart
+        score, longest, apart = self.pieces.score, self.pieces.longest, self.apart.get
         last, counts = [""], [0]
         for i in range(1, len(unit) + 1):
             for size in range(1, min(longest, i) + 1):
                 token = unit[i - size : i]
                 if size > 1 and token not in score:
                     continue
-                if apart(last[i - size], token):
+                left = last[i - size]
+                known = apart((left, token))
+                if known is None:
+                    known = self.keeps_apart(left, token)
+                if known:
                     last.append(token)
                     fallback = len(token.encode()) if size == 1 and token not in score else 1
                     counts.append(counts[i - size] + fallback)
@@ -80,7 +85,7 @@ class PrefixCounter:
         found = self.of_unit.get(unit)
         if found is None:
             counts = self.prefixes(unit)
-            found = counts[-1], np.diff(np.array(counts, dtype=np.int64)).astype(np.int8).tobytes()
+            found = counts[-1], bytes([(b - a) & 255 for a, b in pairwise(counts)])
             if len(unit) <= KEEP_CHARS:
                 self.of_unit.put(unit, found)
         return found
@@ -89,7 +94,8 @@ class PrefixCounter:
         """Tokens of the text, and its stored prefix changes, one for each of its code points."""
         if not text:
             return 0, b""
-        found = list(map(self.unit, self.pieces.units(text)))
+        known = self.of_unit.young.get
+        found = [known(x) or self.unit(x) for x in self.pieces.units(text)]
         changes = b"".join([x[1] for x in found])
         # The dummy space has no code point of its own: its change goes to the first one.
         first = np.frombuffer(changes[:2], dtype=np.int8).sum(dtype=np.int64)
