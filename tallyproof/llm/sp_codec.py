@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from tallyproof.llm.common import Recent, docs_of, map_rows
 from tallyproof.llm.pieces import META, Pieces, load, model_path
 
-CACHE = 250_000
+CACHE = 400_000
 KEEP_CHARS = 48
 BYTE_PENALTY = 10.0
 #: Scores below this stand for none (single and repeated spaces have such); they count as a byte edge does.
@@ -47,6 +48,10 @@ class Codec:
         self.score = {p: x if x > PLACEHOLDER else self.unknown for p, x in pieces.score.items()}
         #: Every start of a piece, so that the search for pieces at a place ends early.
         self.starts = {p[:k] for p in self.score for k in range(2, len(p) + 1)}
+        #: Bytes that each id stands for.
+        self.said = [
+            bytes([pieces.byte_of[i]]) if i in pieces.byte_of else x.replace(META, " ").encode() for i, x in enumerate(pieces.names)
+        ]
         self.of_unit = Recent(CACHE)
         self.others = Recent(CACHE // 10)
 
@@ -109,7 +114,7 @@ class Codec:
                 ids.append(known[piece])
             else:
                 ids.extend(by_byte[x] for x in piece.encode())
-        return np.array(ids, dtype="<i4").tobytes()
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best paths as (score, cuts): A-star backward from the end, heuristic: forward scores."""
@@ -148,14 +153,14 @@ class Codec:
                 ids.append(np.array([self.pieces.byte_ids[x] for x in META.encode()], dtype="<i4").tobytes())
                 total += self.unknown
                 continue
-            for unit in part:
-                score, loss, some = self.first(unit)
-                ids.append(some)
-                total += score
-                least.append(loss)
-                units.append(unit)
+            known = self.of_unit.young.get
+            found = [known(x) or self.first(x) for x in part]
+            ids.extend([x[2] for x in found])
+            total += sum([x[0] for x in found])
+            least.extend([x[1] for x in found])
+            units.extend(part)
         # Only the n - 1 smallest losses can be in the n best sums.
-        chosen = heapq.nsmallest(n - 1, range(len(units)), key=least.__getitem__)
+        chosen = np.argsort(np.array(least), kind="stable")[: n - 1] if n > 1 else ()
         sums = [0.0]
         for k in chosen:
             if least[k] < float("inf"):
@@ -176,19 +181,8 @@ class Codec:
 
     def decode(self, ids) -> str:
         """The text of a list of ids, its dummy space taken off."""
-        out, names, byte_of = [], self.pieces.names, self.pieces.byte_of
-        raw: list[bytes] = []
-        for i in ids:
-            if i in byte_of:
-                raw.append(bytes([byte_of[i]]))
-                continue
-            if raw:
-                out.append(b"".join(raw).decode("utf-8", "replace"))
-                raw = []
-            out.append(names[i].replace(META, " "))
-        if raw:
-            out.append(b"".join(raw).decode("utf-8", "replace"))
-        return "".join(out)[1:]
+        said = self.said
+        return b"".join([said[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
 _codecs: dict[str, Codec] = {}
@@ -229,6 +223,29 @@ def encode(df: DataFrame, path: str | None = None, n: int = N_BEST, key: str = "
     )
 
 
+def encode_rows(df: DataFrame, path: str | None = None, n: int = N_BEST, text: str = "text") -> DataFrame:
+    """The rows of df with piece_ids and n_pieces; a row whose ids don't decode to its text has null in both."""
+    at = df.columns.index(text)
+
+    def start():
+        work_with = codec(model_path(path))
+
+        def one(x):
+            ids = np.frombuffer(work_with.encode(x or "", n)[0], dtype="<i4")
+            return ids if work_with.decode(ids.tolist()) == (x or "") else None
+
+        def work(*cols):
+            found = list(map(one, cols[at]))
+            return (*cols, found, [None if x is None else len(x) for x in found])
+
+        return work
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*df.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())])
+    return map_rows(df, start, schema)
+
+
 def decode(df: DataFrame, path: str | None = None, ids: str = "piece_ids") -> DataFrame:
     """doc_id and the text that its piece ids stand for; null ids give the empty text."""
 
