@@ -7,19 +7,23 @@ SAMPLES MinHash values of a set make BANDS band keys of ROWS values each. They a
 into an odd sketch: each sample flips one of BITS bits, so the XOR of two sketches holds the
 parity of their samples' symmetric difference, whose population count gives the Jaccard similarity
 with little error where it is high. Sets at the threshold 0.8 share no band with a probability of
-(1 - 0.8 ** ROWS) ** BANDS, 5e-8 for the values here.
+(1 - 0.8 ** ROWS) ** BANDS, 1.3e-7 for the values here.
 
 Candidates come without pairing a bucket's members with each other:
 
-1. each member of a bucket with the bucket's smallest member;
-2. then, round after round, only buckets whose members are still in different components: for
-   each member and each other component the RANKS best by sketch, four times as many each round,
-   until no pair that the sketches allow is left untried. Pairs inside a component need no test,
-   as they can't change it.
-
-A pair goes on if its sketches allow a similarity of threshold - MARGIN (over five standard
-errors), and is a link only if the full sets say so. Buckets are cut into blocks of BLOCK members
-before their sketches are compared, so no task needs a whole one.
+1. Each member of a bucket is paired with the bucket's smallest member. Pairs whose sketches allow
+   a similarity of threshold - MARGIN (over four standard errors) tie both to one coarse cluster,
+   and are links if the full sets say so.
+2. In buckets with members that are far from the smallest, those are compared by sketch with all
+   members, and tied to the clusters of the near ones. Only ties that join something are given
+   out, fewer than the bucket has members. Large buckets are cut into blocks of BUCKET members,
+   compared two and two.
+3. Only clusters whose members aren't linked into one component yet are compared in full. Their
+   members, put in order of component, are cut into blocks of BLOCK, and pairs of blocks that hold
+   two components go to a task each. There an index of shared shingles counts a member's exact
+   overlap with all others at once; members of the largest component are compared with nothing,
+   the most central ones are taken first, and only links that join components are given out. So
+   many copies of one text cost one comparison each, and no list of pairs is ever made.
 
 Defined results: a text with fewer than w words is one shingle; null, empty and blank texts have
 none and are linked with nothing; repeated rows and ties are in one group, the smallest doc_id
@@ -39,14 +43,13 @@ from tallyproof.llm import rolling
 from tallyproof.llm.common import cut, docs_of, drop_cut, map_rows, ship_code
 
 U = np.uint64
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
 THRESHOLD = 0.8
-MARGIN = 0.2
-#: Partners tried of each component, for each member, in the first of the later rounds.
-RANKS = 4
-BLOCK = 2048
+MARGIN = 0.15
+#: Documents of a block: by full sets, and by sketches.
+BLOCK, BUCKET = 4096, 8192
 _random = np.random.Generator(np.random.PCG64(7))
 FACTORS = _random.integers(1, 2**63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
 PLACE = _random.integers(1, 2**63, 8, dtype=np.uint64) * U(2) + U(1)
@@ -172,60 +175,136 @@ def link(pairs: DataFrame, sets: DataFrame, w: int, percent: int) -> DataFrame:
     return map_rows(rows, start, "a bigint, b bigint, linked boolean")
 
 
-def later_candidates(members: DataFrame, ranks: int, most: int) -> DataFrame:
-    """(a, b, more): for each member and other component of its bucket, the ranks best partners by sketch.
+def central_first(sketch: np.ndarray) -> np.ndarray:
+    """Places in order of distance from the sketches' bitwise majority: a text that many copies stem from comes first."""
+    bits = np.unpackbits(sketch.view(np.uint8).reshape(len(sketch), -1), axis=1)
+    return np.argsort((bits != (bits.mean(axis=0) > 0.5)).sum(axis=1), kind="stable")
 
-    members: (key, id, comp, sketch) of buckets with two components or more. more: there were others.
-    """
+
+def joining(order: np.ndarray, label: np.ndarray, hits) -> list[tuple[int, int]]:
+    """Pairs of places that join groups; label: each place's group, changed here; hits(i): places that i goes with."""
+    found: list[tuple[int, int]] = []
+    count = np.bincount(label)
+    for i in order:
+        if label[i] == count.argmax():
+            if count.max() == len(label):
+                break
+            continue
+        for j in hits(i):
+            if label[j] != label[i]:
+                found.append((int(i), int(j)))
+                old, new = label[j], label[i]
+                label[label == old] = new
+                count[new] += count[old]
+                count[old] = 0
+    return found
+
+
+def tile_links(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join components among these documents, found by exact overlaps."""
+    m, size = len(ids), np.array(list(map(len, sets)))
+    owner = np.repeat(np.arange(m), size)
+    items, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[inverse] > 1
+    owner, inverse = owner[shared], inverse[shared]
+    order = np.argsort(inverse, kind="stable")
+    post = owner[order]
+    starts = np.searchsorted(inverse[order], np.arange(len(items) + 1))
+    mine = np.searchsorted(owner, np.arange(m + 1))
+
+    def hits(i):
+        lists = inverse[mine[i] : mine[i + 1]]
+        if not len(lists):
+            return ()
+        both = np.bincount(np.concatenate([post[starts[k] : starts[k + 1]] for k in lists]), minlength=m)
+        return np.flatnonzero(100 * both >= percent * (size + size[i] - both))
+
+    label = np.unique(comp, return_inverse=True)[1]
+    return [(int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))) for i, j in joining(central_first(sketch), label, hits)]
+
+
+def in_blocks(rows: DataFrame, by: str, order: list[str], size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block, the pairs (by, t0, t1) of blocks that bring each two rows of a group together)."""
     from pyspark.sql import Window
 
+    number = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    rows = cut(rows.withColumn("block", F.floor(number / size).cast("int")))
+    last = rows.groupBy(by).agg(F.max("block").alias("last"))
+    t1 = last.select(by, "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("t1"))
+    pairs = t1.select(by, "last", "t1", F.explode(F.sequence(F.lit(0), F.col("t1"))).alias("t0"))
+    # Two rows of one block meet in each of its pairs, so it needs one with itself only where it is alone.
+    return rows, pairs.where("t0 < t1 or last = 0").select(by, "t0", "t1")
+
+
+def deal(rows: DataFrame, tiles: DataFrame, by: str) -> DataFrame:
+    sides = tiles.select(by, "t0", "t1", F.explode(F.array_distinct(F.array("t0", "t1"))).alias("block"))
+    return sides.join(rows, [by, "block"]).drop("block")
+
+
+def cluster_links(members: DataFrame, sets: DataFrame, w: int, percent: int) -> DataFrame:
+    """(a, b) of links that join components of (id, cluster, comp, sketch), which holds clusters of two components or more."""
     ship_code(members.sparkSession)
-    numbered = members.withColumn("block", ((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / BLOCK).cast("int"))
-    blocks = numbered.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
-    dealt = numbered.join(blocks, "key").select(
-        "key", "id", "comp", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
-    tile = dealt.select(
-        "key", "id", "comp", "sketch", "block", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1")
-    )
+    rows, tiles = in_blocks(members, "cluster", ["comp", "id"], BLOCK)
+    ends = rows.groupBy("cluster", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    end = lambda t: ends.select("cluster", F.col("block").alias(t), F.col("c0").alias(f"low_{t}"), F.col("c1").alias(f"high_{t}"))
+    # A pair of blocks of one and the same component has nothing to tell.
+    tiles = tiles.join(end("t0"), ["cluster", "t0"]).join(end("t1"), ["cluster", "t1"])
+    tiles = tiles.where("least(low_t0, low_t1) < greatest(high_t0, high_t1)").select("cluster", "t0", "t1")
+    dealt = deal(rows, tiles, "cluster").join(sets, "id").select("cluster", "t0", "t1", "id", "comp", "sketch", "text")
 
     def run(table):
         import pyarrow as pa
 
-        ids = table.column("id").to_numpy()
-        comp = table.column("comp").to_numpy()
-        block = table.column("block").to_numpy()
-        t0, t1 = table.column("t0")[0].as_py(), table.column("t1")[0].as_py()
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
-        out_a, out_b, out_more = [], [], []
-        there = np.flatnonzero(block == t1)
-        for i in np.flatnonzero(block == t0):
-            js = there[comp[there] != comp[i]]
-            if t0 == t1:
-                js = js[ids[js] < ids[i]]
-            if not len(js):
-                continue
-            bits = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1)
-            ok = bits <= most
-            js, bits = js[ok], bits[ok]
-            order = np.lexsort((ids[js], bits, comp[js]))
-            js = js[order]
-            first = np.flatnonzero(np.diff(comp[js], prepend=-1))
-            rank = np.arange(len(js)) - np.repeat(first, np.diff(np.append(first, len(js))))
-            for j, r in zip(js, rank, strict=True):
-                if r < ranks:
-                    out_a.append(max(ids[i], ids[j]))
-                    out_b.append(min(ids[i], ids[j]))
-                    out_more.append(False)
-                elif r == ranks:
-                    out_a.append(-1)
-                    out_b.append(-1)
-                    out_more.append(True)
-        return pa.table(
-            {"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "more": pa.array(out_more, pa.bool_())}
-        )
-
-    return tile.groupBy("key", "t0", "t1").applyInArrow(run, "a bigint, b bigint, more boolean").distinct()
+        sketch = np.array(table.column("sketch").to_pylist(), np.int64)
+        sets = [shingles(x, w) for x in table.column("text").to_pylist()]
+        found = tile_links(table.column("id").to_numpy(), table.column("comp").to_numpy(), sketch, sets, percent)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("cluster", "t0", "t1").applyInArrow(run, "a bigint, b bigint")
+
+
+def far_ties(members: DataFrame, most: int) -> DataFrame:
+    """(a, b) of ties by sketch that join near and far members of buckets (key, id, near, sketch)."""
+    ship_code(members.sparkSession)
+    rows, tiles = in_blocks(members, "key", ["id"], BUCKET)
+
+    def ties(ids, near, sketch):
+        label = np.where(near, 0, np.arange(len(ids)) + 1)
+        words = sketch.view(np.uint64)
+        hits = lambda i: np.flatnonzero(np.bitwise_count(words ^ words[i]).sum(axis=1) <= most)
+        # The near ones are one group already, and its ties are known: only far ones are looked at.
+        far = np.flatnonzero(~near)
+        if not len(far):
+            return []
+        return joining(far[central_first(sketch[far])], np.unique(label, return_inverse=True)[1], hits)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list = []
+        now = None
+
+        def flush():
+            if len(held) > 2:
+                ids = np.array([r[0] for r in held])
+                found = ties(ids, np.array([r[1] for r in held]), np.array([r[2] for r in held], np.int64))
+                if found:
+                    a, b = (ids[np.array(x)] for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            held.clear()
+
+        for batch in batches:
+            for key, t0, t1, *row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("key", "t0", "t1", "id", "near", "sketch")), strict=True):
+                if (key, t0, t1) != now:
+                    yield from flush()
+                    now = key, t0, t1
+                held.append(row)
+        yield from flush()
+
+    # Many small buckets share a task; a bucket's tile is read in one piece.
+    dealt = deal(rows, tiles, "key").repartition("key", "t0", "t1").sortWithinPartitions("key", "t0", "t1", "id")
+    return dealt.select("key", "t0", "t1", "id", "near", "sketch").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, w: int = 5, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,37 +319,33 @@ def near_duplicates(df: DataFrame, w: int = 5, threshold: float = THRESHOLD, key
         .select("set_id", "id", "s.bands", "s.sketch")
     )
     keys = classes.select("id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("top > b")
+
+    smallest = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("top > b")
     # Only buckets of two members or more go on.
-    members = cut(keys.join(buckets.select("key", "b"), "key"))
+    members = cut(keys.join(smallest.select("key", "b"), "key"))
     needed = members.select("id").distinct()
     # One text of each class that has a candidate at all: the only time whole texts are shuffled by id.
     sets = cut(docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id").dropDuplicates(["id"]))
     sketches = cut(classes.select("id", "sketch").join(needed, "id"))
-
-    def with_sketches(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").where(differing("sa", "sb") <= most).select("a", "b")
-
     stars = members.where("id > b").select(F.col("id").alias("a"), "b").distinct()
-    tried = cut(link(with_sketches(stars), sets, w, percent))
-    ranks = RANKS
-    while True:
-        comp = components(tried.where("linked"))
-        placed = members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-        open_rows = placed.join(mixed, "key").join(sketches, "id").select("key", "id", "comp", "sketch")
-        found = cut(later_candidates(open_rows, ranks, most))
-        new = found.where("not more").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = found.where("more").limit(1).count()
-        checked = cut(link(new, sets, w, percent))
-        if not checked.limit(1).count():
-            if not more:
-                break
-            ranks *= 4
-            continue
-        tried, ranks = cut(tried.union(checked)), ranks * 4
+    a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    stars = cut(stars.join(a, "a").join(b, "b").select("a", "b", (differing("sa", "sb") <= most).alias("near")))
+    near = stars.where("near").select("a", "b")
+    flagged = members.join(stars.withColumnRenamed("a", "id"), ["id", "b"], "left").select("key", "id", F.coalesce("near", F.lit(True)).alias("near"))
+    # Buckets of three or more with a far member; in one of two there is nothing else to compare it with.
+    mixed = flagged.groupBy("key").agg(F.count_if(~F.col("near")).alias("far"), F.count("*").alias("n")).where("far > 0 and n > 2").select("key")
+    ties = cut(far_ties(flagged.join(mixed, "key").join(sketches, "id"), most))
+    linked = cut(link(near, sets, w, percent).where("linked").select("a", "b"))
+    comp = components(linked)
+    cluster = components(near.union(ties))
+    placed = cut(
+        cluster.select("id", F.col("comp").alias("cluster")).join(comp, "id", "left").select("id", "cluster", F.coalesce("comp", "id").alias("comp"))
+    )
+    open_clusters = placed.groupBy("cluster").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("cluster")
+    joined = cut(cluster_links(placed.join(open_clusters, "cluster").join(sketches, "id"), sets, w, percent).distinct())
+    if joined.limit(1).count():
+        comp = components(linked.union(joined))
     rows = sig.join(classes.select("set_id", F.col("id").alias("rep")), "set_id", "left").join(
         comp.select(F.col("id").alias("rep"), "comp"), "rep", "left"
     )
