@@ -94,6 +94,7 @@ def test_groups_whose_copies_are_linked_through_one_text(spark, monkeypatch):
     import random
 
     monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "BUCKET", 5)
     rng = random.Random(11)
     docs, n = [], 0
     for _ in range(3):
