@@ -199,3 +199,53 @@ def exact_family_tests(spark, sf_dir):
             yield f.assign(p_upper=p, harm_upper=harm)
 
     return g.mapInPandas(run, "lang string, part bigint, wins bigint, losses bigint, n bigint, p_upper string, harm_upper string")
+
+
+@query(
+    "odds_ratio_tables",
+    """
+WITH t AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS a, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS b,
+  count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'F') AS c, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') AS d FROM lineitem GROUP BY l_suppkey)
+SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, a AS exposed_event, b AS exposed_other, c AS unexposed_event, d AS unexposed_other,
+  CASE WHEN least(a, b, c, d) = 0 THEN 'UNSUPPORTED' WHEN (200 * a * d + b * c) // (2 * b * c) = 100 THEN 'CONSISTENT_WITH_ROUNDING' ELSE 'ARITHMETIC_CANDIDATE' END AS status,
+  CASE WHEN least(a, b, c, d) = 0 THEN 'ZERO_CELL_POLICY_UNSPECIFIED' END AS reason FROM t""",
+)
+def odds_ratio_tables(spark, sf_dir):
+    """Tables that all print 1.00, over the suppliers' flags and statuses."""
+    from tallyproof.operators import statistic_tables
+
+    cell = lambda f, s: F.count_if((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(cell("R", "F").alias("a"), cell("R", "O").alias("b"), cell("N", "F").alias("c"), cell("N", "O").alias("d"))
+    heads = ("Outcome", "Exposed event", "Exposed non-event", "Unexposed event", "Unexposed non-event", "Unadjusted odds ratio (exposed vs unexposed)")
+    xml = F.format_string(
+        "<article><body><table-wrap><caption><p>Independent groups at day 30</p></caption><table><thead><tr>" + "".join(f"<th>{h}</th>" for h in heads)
+        + "</tr></thead><tbody><tr><td>Return</td><td>%d</td><td>%d</td><td>%d</td><td>%d</td><td>1.00</td></tr></tbody></table></table-wrap></body></article>", "a", "b", "c", "d",
+    )
+    docs = articles.layouts(g.select(F.col("l_suppkey").cast("string").alias("doc_id"), F.encode(xml, "UTF-8").alias("content")))
+    return statistic_tables.odds_ratio_tables(articles.exploded(docs, "tables")).select(
+        "doc_id", "exposed_event", "exposed_other", "unexposed_event", "unexposed_other", "status", "reason"
+    )
+
+
+@query(
+    "standard_error_tables",
+    """
+WITH g AS (SELECT o_custkey, count(*) AS n, CAST(floor(max(o_totalprice)) AS BIGINT) % 9000 + 500 AS sd FROM orders GROUP BY o_custkey),
+s AS (SELECT *, CAST(floor(sd / sqrt(n)) AS BIGINT) + (o_custkey % 5) - 2 AS se FROM g)
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, n, sd, se,
+  CASE WHEN CAST(n AS HUGEINT) * (2 * se - 1) * (2 * se - 1) <= 4 * sd * sd AND 4 * sd * sd < CAST(n AS HUGEINT) * (2 * se + 1) * (2 * se + 1) THEN 'CONSISTENT_WITH_ROUNDING'
+  WHEN (2 * sd + 1) * (2 * sd + 1) > CAST(n AS HUGEINT) * (2 * se - 1) * (2 * se - 1) AND (2 * sd - 1) * (2 * sd - 1) < CAST(n AS HUGEINT) * (2 * se + 1) * (2 * se + 1) THEN 'ROUNDING_COMPATIBLE'
+  ELSE 'ARITHMETIC_CANDIDATE' END AS status FROM s WHERE se >= 1""",
+)
+def standard_error_tables(spark, sf_dir):
+    from tallyproof.operators import statistic_tables
+
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), (F.floor(F.max("o_totalprice")).cast("bigint") % 9000 + 500).alias("sd"))
+    s = g.withColumn("se", F.floor(F.col("sd") / F.sqrt("n")).cast("bigint") + F.col("o_custkey") % 5 - 2).where("se >= 1")
+    xml = F.format_string(
+        "<article><body><table-wrap><caption><p>Independent observations; SE = SD/sqrt(n).</p></caption><table><thead><tr><th>Measure</th><th>n</th><th>SD</th><th>SE</th></tr></thead>"
+        "<tbody><tr><td>Score</td><td>%d</td><td>%d</td><td>%d</td></tr></tbody></table></table-wrap></body></article>", "n", "sd", "se",
+    )
+    docs = articles.layouts(s.select(F.col("o_custkey").cast("string").alias("doc_id"), F.encode(xml, "UTF-8").alias("content")))
+    found = statistic_tables.se_tables(articles.exploded(docs, "tables"))
+    return found.select("doc_id", "n", F.col("sd").cast("bigint").alias("sd"), F.col("reported_se").cast("bigint").alias("se"), "status")
