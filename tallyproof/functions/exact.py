@@ -105,13 +105,13 @@ def half_away(num: Column, den: Column) -> Column:
     return F.when(num < 0, -whole).otherwise(whole)
 
 
-def two_by_two(a, b, c, d, measure: str, decimals: int) -> Column:
-    """(units, reason) of a risk ratio, odds ratio or risk difference at so many decimals.
+def two_by_two(a, b, c, d, measure: str, decimals: int | Column) -> Column:
+    """(units, reason) of a risk ratio, odds ratio or risk difference at so many decimals, 8 at most.
 
     a, b: events and others of the first group; c, d: of the reference group.
     """
     a, b, c, d = (big(x).cast("decimal(38,0)") for x in (a, b, c, d))
-    s = F.lit(10**decimals).cast("decimal(38,0)")
+    s = (F.lit(10**decimals) if isinstance(decimals, int) else power_of_ten(decimals)).cast("decimal(38,0)")
     first, second = a + b, c + d
     if measure == "RR":
         num, den, zero = a * second, c * first, F.when(c == 0, F.lit("ZERO_REFERENCE_RISK"))

@@ -78,12 +78,10 @@ def odds_ratio_tables(tables: DataFrame) -> DataFrame:
     )
     one = one.withColumn("reason", reason)
     places = F.length(F.regexp_extract("shown", r"\.([0-9]+)$", 1))
-    units, free = F.lit(None).cast("bigint"), F.col("reason").isNull()
-    for p in range(9):
-        # Only rows at this many decimals are scaled so far; others would overflow for nothing.
-        at = free & (places == p)
-        got = exact.two_by_two(*(F.when(at, v) for v in four), "OR", p)["units"]
-        units = F.coalesce(units, F.when(at, got))
+    free = F.col("reason").isNull()
+    one = one.withColumns({f"n_{k}": F.when(free, value(k)) for k in names} | {"places": places})
+    one = one.withColumn("units", exact.two_by_two(*(f"n_{k}" for k in names), "OR", F.col("places"))["units"])
+    units, places = F.col("units"), F.col("places")
     printed = F.when(free, F.replace("shown", F.lit("."), F.lit("")).try_cast("bigint"))
     status = F.when(~free, "UNSUPPORTED").when(units == printed, "CONSISTENT_WITH_ROUNDING").otherwise("ARITHMETIC_CANDIDATE")
     return one.select("doc_id", "table_id", *(value(k).alias(v) for k, v in names.items()), F.col("shown").alias("reported"), exact.print_units(units, places).alias("recomputed"), status.alias("status"), "reason")
