@@ -15,6 +15,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: is surely of high quality is taken at least once.
 MULTIPLES = (1.05, 1.00, 0.50)
 
+#: Units that a worker keeps encoded: it lives on beside the other stages, so fewer than the operator's default.
+UNITS_KEPT = 100_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go. One projection and a filter, no join."""
@@ -54,7 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text and the ids of its best segmentation, whose decoding is the text again."""
-    return sp_codec.encode_rows(docs.select(*COLUMNS))
+    return sp_codec.encode_rows(docs.select(*COLUMNS), cache=UNITS_KEPT)
 
 
 STAGES = [

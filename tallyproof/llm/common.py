@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -66,6 +67,15 @@ def docs_of(df: DataFrame, key: str = "doc_id", text: str = "text", binary: bool
     return df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").cast(kind).alias("text"))
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system: workers wait for other stages beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # a system without it keeps the pages
+
+
 def map_rows(df: DataFrame, fn: Callable[[], Callable], schema: str | T.StructType) -> DataFrame:
     """Rows through a Python function by Arrow batches.
 
@@ -89,6 +99,7 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable], schema: str | T.StructTy
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, type=field.type) for values, field in zip(out, arrow, strict=True)], schema=arrow
                 )
+        release()
 
     return df.mapInArrow(run, to)
 

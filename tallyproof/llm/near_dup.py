@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm import rolling
-from tallyproof.llm.common import cut, docs_of, drop_cut, map_rows, ship_code
+from tallyproof.llm.common import cut, docs_of, drop_cut, map_rows, release, ship_code
 
 U = np.uint64
 BANDS, ROWS = 40, 5
@@ -258,6 +258,9 @@ def cluster_links(members: DataFrame, sets: DataFrame, w: int, percent: int) ->
         sketch = np.array(table.column("sketch").to_pylist(), np.int64)
         sets = [shingles(x, w) for x in table.column("text").to_pylist()]
         found = tile_links(table.column("id").to_numpy(), table.column("comp").to_numpy(), sketch, sets, percent)
+        if len(sets) > 100:
+            del sets
+            release()
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -301,6 +304,7 @@ def far_ties(members: DataFrame, most: int) -> DataFrame:
                     now = key, t0, t1
                 held.append(row)
         yield from flush()
+        release()
 
     # Many small buckets share a task; a bucket's tile is read in one piece.
     dealt = deal(rows, tiles, "key").repartition("key", "t0", "t1").sortWithinPartitions("key", "t0", "t1", "id")

@@ -41,7 +41,7 @@ N_BEST = 4
 
 
 class Codec:
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, cache: int = CACHE):
         self.pieces = pieces
         ordinary = [x for x in pieces.score.values() if x > PLACEHOLDER]
         self.unknown = min(ordinary) - BYTE_PENALTY
@@ -52,8 +52,8 @@ class Codec:
         self.said = [
             bytes([pieces.byte_of[i]]) if i in pieces.byte_of else x.replace(META, " ").encode() for i, x in enumerate(pieces.names)
         ]
-        self.of_unit = Recent(CACHE)
-        self.others = Recent(CACHE // 10)
+        self.of_unit = Recent(cache)
+        self.others = Recent(cache // 10)
 
     def edges(self, unit: str) -> list[list[tuple[int, float]]]:
         """For each place i > 0: (start, score) of the pieces that end there, shortest first."""
@@ -185,14 +185,14 @@ class Codec:
         return b"".join([said[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, cache: int = CACHE) -> Codec:
     """One codec for each worker process, so its cache outlives a task."""
-    if path not in _codecs:
-        _codecs[path] = Codec(load(path))
-    return _codecs[path]
+    if (path, cache) not in _codecs:
+        _codecs[path, cache] = Codec(load(path), cache)
+    return _codecs[path, cache]
 
 
 def encode(df: DataFrame, path: str | None = None, n: int = N_BEST, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,12 +223,16 @@ def encode(df: DataFrame, path: str | None = None, n: int = N_BEST, key: str = "
     )
 
 
-def encode_rows(df: DataFrame, path: str | None = None, n: int = N_BEST, text: str = "text") -> DataFrame:
-    """The rows of df with piece_ids and n_pieces; a row whose ids don't decode to its text has null in both."""
+def encode_rows(df: DataFrame, path: str | None = None, n: int = N_BEST, text: str = "text", cache: int = CACHE) -> DataFrame:
+    """The rows of df with piece_ids and n_pieces; a row whose ids don't decode to its text has null in both.
+
+    cache: entries a worker keeps, in each of two generations; about 700 bytes each. Workers outlive
+    stages, so where other stages follow in the same executors it should be small.
+    """
     at = df.columns.index(text)
 
     def start():
-        work_with = codec(model_path(path))
+        work_with = codec(model_path(path), cache)
 
         def one(x):
             ids = np.frombuffer(work_with.encode(x or "", n)[0], dtype="<i4")

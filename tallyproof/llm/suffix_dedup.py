@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm import rolling
-from tallyproof.llm.common import LAST_DOC, cut, docs_of, map_rows, ship_code
+from tallyproof.llm.common import LAST_DOC, cut, docs_of, map_rows, release, ship_code
 
 U = np.uint64
 SIZE = 100
@@ -49,12 +49,12 @@ SIZE = 100
 #: bytes over a quarter of all contexts shared their anchor with another, of 32 bytes a twentieth.
 K = 32
 #: Bytes of text whose contexts are settled together in a task, and that a long text is cut into.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 23
 SEGMENT = 1 << 23
 #: Contexts of one anchor that are compared in one task.
 GROUP = 20_000
 #: Context bytes that are put in suffix order together.
-SORT_BYTES = 1 << 23
+SORT_BYTES = 1 << 22
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -153,6 +153,8 @@ def find_anchors(docs: DataFrame, size: int) -> DataFrame:
                     rows, held = [], 0
         if rows:
             yield settled_batch(rows)
+        del rows
+        release()
 
     return docs.mapInArrow(run, ROW)
 
@@ -225,6 +227,7 @@ def settle_sorted(rows: DataFrame, keep_open: bool, group: int) -> DataFrame:
                 if many:
                     yield from flush()
         yield from flush()
+        release()
 
     return rows.mapInArrow(run, ROW)
 
@@ -365,6 +368,8 @@ def compare(contexts: DataFrame, size: int) -> DataFrame:
                 held += len(row[3])
         if rows:
             yield ranges(rows)
+        del rows
+        release()
 
     small = contexts.where("kind = 2").repartition(F.col("h")).sortWithinPartitions("h", "doc", "lo")
     return small.mapInArrow(run, "doc bigint, lo bigint, hi bigint")
