@@ -59,3 +59,84 @@ def check_flow(rows: DataFrame, cue: str | None = None) -> DataFrame:
     if cue:
         status = status.when(~F.coalesce(cue, F.lit(False)), "FLOW_RELATION_AMBIGUOUS")
     return rows.withColumn("status", status.when(F.col("expected") == inc, "FLOW_BALANCED").otherwise("FLOW_ARITHMETIC_CANDIDATE"))
+
+
+# Units of a flow and their common names, and the cues of total, exclusions, inclusion and their relation.
+UNIT = r"(participants?|individuals?|persons?|people|patients?|records?|reports?|studies)"
+UNITS = {**dict.fromkeys(("participant", "participants", "individual", "individuals", "person", "persons", "people"), "participant"), "patient": "patient", "patients": "patient", "record": "record", "records": "record", "report": "report", "reports": "report", "studies": "study"}
+NUM = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,3}(?:[   ][0-9]{3})+|[0-9]{1,13})"
+TOTAL = rf"\b(?:of|among)\s+the\s+({NUM})\s+([^.;:]{{0,120}}?\b{UNIT}\b)"
+EXCLUDED = r"\bwe\s+(?:then\s+)?excluded\b"
+INCLUDED = rf"\bfinally\s*,?\s*({NUM})\s+([^.;:]{{0,120}}?\b{UNIT}\b[^.;]{{0,160}}?)\b(?:were|was)\s+included\b"
+WHOLE = rf"(?is)^.*?{TOTAL}(.*?){EXCLUDED}(.*?){INCLUDED}"
+BETWEEN = rf"(?i)(?:,\s+(?:and\s+)?(?={NUM}\s)|;\s*(?:and\s+)?(?={NUM}\s)|\s+and\s+(?={NUM}\s))"
+ITEM = rf"(?is)^\s*(?:and\s+)?({NUM})\s+((?:{UNIT}\b|with\b|for\b|due\b|who\b|that\b|aged?\b|under\b|younger\b|older\b|no\b|without\b|having\b|because\b|from\b|in\b|at\b|by\b|as\b|based\b).{{0,180}})"
+DISJOINT, EXHAUSTIVE = r"(?i)\b(?:mutually\s+exclusive|non[ -]?overlapping|disjoint)\b", r"(?i)\bexhaustive\b|\bexhaust(?:s|ed|ing)?\s+all\b"
+REMAINDER = rf"(?i)\b(?:all|the)\s+remaining\s+{UNIT}\s+(?:were|was)\s+included\b"
+SEQUENCE = r"(?is)\b(?:each\s+subsequent\s+exclusion|subsequent\s+exclusions?|sequentially\s+excluded|exclusions?\s+were\s+applied\s+sequentially)\b.{0,100}?\b(?:from|to|against)\s+(?:the\s+)?remaining\b"
+DOUBT = r"(?i)\b(?:may|might|could|can)\s+(?:not\s+be\s+)?(?:overlap|disjoint)\b|\bnot\s+(?:necessarily\s+)?(?:disjoint|mutually\s+exclusive|non[ -]?overlapping|exhaustive)\b|\bneither\s+mutually\s+exclusive\b|\bnor\s+exhaustive\b|\badditional\s+exclusions?\s+(?:may|were|are)\b"
+PARTITION = r"(?is)\b(?:exclusion\s+categories|exclusion\s+reasons|exclusions?|excluded\s+(?:groups?|categories?|sets?))\b.{0,100}?\b(?:mutually\s+exclusive|disjoint|non[ -]?overlapping)\b"
+GROUP = r"(?i)\b((?:[a-z][a-z0-9_-]*\s+)?(?:arm|group)(?:\s+[a-z0-9_-]+)?)\b"
+TIME = r"(?i)\b(baseline|follow[ -]?up|week\s+[0-9]{1,4}|month\s+[0-9]{1,4}|year\s+[0-9]{1,4})\b"
+COHORT = r"(?i)\b(?:cohort|study\s+population|trial\s+population|study\s+cohort)\s+([A-Za-z0-9_-]+)\b"
+MAX_FLOW_CHARS, MAX_EXCLUSIONS = 20_000, 32
+
+
+def unit_of(text: Column) -> Column:
+    return F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))[F.lower(text)]
+
+
+def named(text: Column, pattern: str) -> Column:
+    """What a text names, each once, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), F.lower))
+
+
+def read_flows(df: DataFrame, text: str = "text") -> DataFrame:
+    """Paragraphs that state a total, exclusions and who was included at last, read and checked.
+
+    A paragraph without all three cues gives no row. Group, time and cohort that an operand names
+    have to be the total's; what it doesn't name is taken over.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    cues = F.regexp_like(t, F.lit("(?i)" + TOTAL)) & F.regexp_like(t, F.lit("(?i)" + EXCLUDED)) & F.regexp_like(t, F.lit("(?i)" + INCLUDED))
+    g = lambda k: F.regexp_extract(t, WHOLE, k)
+    rows = df.where(cues).withColumns({
+        "ordered": F.regexp_like(t, F.lit(WHOLE)), "total": to_count(g(1)), "total_said": F.concat(g(2), g(4)), "total_unit": unit_of(g(3)), "middle": g(5),
+        "included": to_count(g(6)), "included_said": g(7), "included_unit": unit_of(g(8)),
+    })
+    pieces = F.filter(F.split("middle", BETWEEN), lambda x: F.regexp_like(x, F.lit(ITEM)))
+    # An exclusion ends with its sentence; what follows is about their relation.
+    items = F.transform(pieces, lambda x: F.struct(to_count(F.regexp_extract(x, ITEM, 1)).alias("n"), F.regexp_replace(F.regexp_extract(x, ITEM, 2), r"(?s)[.;](?:\s.*)?$", "").alias("said"), unit_of(F.regexp_extract(x, ITEM, 3)).alias("unit")))
+    rows = rows.withColumn("items", items).withColumn("exclusions", F.transform("items", lambda x: x["n"]))
+
+    def differs(said: Column) -> Column:
+        out = F.lit(False)
+        for pattern in (GROUP, TIME, COHORT):
+            mine = named(said, pattern)
+            out = out | ((F.size(mine) > 0) & (mine != named(F.col("total_said"), pattern)))
+        return out
+
+    several = lambda c, p: F.size(named(F.col(c), p)) > 1
+    middle = F.col("middle")
+    has = lambda p: F.regexp_like(middle, F.lit(p))
+    bad = lambda c: ~F.coalesce(c.between(0, MAX_COUNT), F.lit(False))
+    reason = (
+        F.when(F.length(t) > MAX_FLOW_CHARS, "FLOW_PARAGRAPH_EXCEEDS_LIMIT")
+        .when(~F.col("ordered"), "FLOW_OPERAND_ORDER_UNSUPPORTED")
+        .when(bad(F.col("total")) | bad(F.col("included")), "FLOW_COUNT_OUT_OF_BOUNDS")
+        .when(F.size("items") < 2, "FLOW_NEEDS_TWO_EXCLUSIONS")
+        .when(F.size("items") > MAX_EXCLUSIONS, "FLOW_EXCLUSION_LIMIT")
+        .when(several("total_said", GROUP) | several("included_said", GROUP), "FLOW_GROUP_SCOPE_AMBIGUOUS")
+        .when(several("total_said", TIME) | several("included_said", TIME), "FLOW_TIMEPOINT_SCOPE_AMBIGUOUS")
+        .when(F.exists("exclusions", bad), "FLOW_COUNT_OUT_OF_BOUNDS")
+        .when((F.col("total_unit") != F.col("included_unit")) | F.exists("items", lambda x: F.coalesce(x["unit"] != F.col("total_unit"), F.lit(False))), "FLOW_OPERAND_UNIT_MISMATCH")
+        .when(differs(F.col("included_said")) | F.exists("items", lambda x: differs(x["said"])), "FLOW_OPERAND_SCOPE_MISMATCH")
+        .when(has(DOUBT), "FLOW_RELATION_CUE_CONFLICT")
+        .when(~((has(DISJOINT) & has(EXHAUSTIVE) & has(REMAINDER) & has(PARTITION)) | (has(SEQUENCE) & has(REMAINDER))), "FLOW_DISJOINTNESS_EXHAUSTIVENESS_OR_SEQUENCE_NOT_EXPLICIT")
+    )
+    rows = rows.withColumn("reason", reason)
+    free = F.col("reason").isNull()
+    expected = F.when(free, F.col("total") - F.aggregate("exclusions", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    ambiguous = F.col("reason").isin("FLOW_RELATION_CUE_CONFLICT", "FLOW_DISJOINTNESS_EXHAUSTIVENESS_OR_SEQUENCE_NOT_EXPLICIT")
+    status = F.when(ambiguous, "FLOW_RELATION_AMBIGUOUS").when(~free, "UNSUPPORTED").when(expected == F.col("included"), "FLOW_BALANCED").otherwise("FLOW_ARITHMETIC_CANDIDATE")
+    return rows.withColumns({"expected": expected, "status": status}).drop("ordered", "total_said", "middle", "included_said", "items")

@@ -187,3 +187,20 @@ def test_bundle_replay(spark, tmp_path):
     changed = store.replay(spark, str(tmp_path / "b"), relations=parts["relations"].withColumn("numerator", F.col("numerator") + 1)).first()
     assert changed.intact and not changed.reproduced
     assert json.loads("{}") == {}
+
+
+def test_flows_read_from_text(spark):
+    start = "Of the 100 participants in cohort {}, we excluded 10 with condition A and 5 with condition B. "
+    sure = "The exclusion categories were mutually exclusive and exhaustive, and all remaining participants were included. "
+    end = "Finally, {} participants in cohort {} were included."
+    texts = {
+        "off": start.format("Alpha") + sure + end.format(80, "Alpha"), "ok": start.format("Beta") + sure + end.format(85, "Beta"), "unsure": start.format("Gamma") + end.format(80, "Gamma"),
+        "other": start.format("Alpha") + sure + end.format(85, "Beta"), "unit": start.format("Alpha") + sure + "Finally, 85 records were included.", "one": "Of the 100 participants, we excluded 10 with condition A. " + sure + end.format(90, "A"),
+        "doubt": start.format("A") + "The categories may overlap. " + sure + end.format(85, "A"), "none": "Nothing was excluded.", "big": "Of the 1,200 patients, we excluded 1,000 without data; 100 with errors. Exclusions were applied sequentially to the remaining. All remaining patients were included. Finally, 100 patients were included.",
+    }
+    got = {r.doc_id: (r.status, r.reason, r.expected) for r in prose.read_flows(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert got == {
+        "off": ("FLOW_ARITHMETIC_CANDIDATE", None, 85), "ok": ("FLOW_BALANCED", None, 85), "unsure": ("FLOW_RELATION_AMBIGUOUS", "FLOW_DISJOINTNESS_EXHAUSTIVENESS_OR_SEQUENCE_NOT_EXPLICIT", None),
+        "other": ("UNSUPPORTED", "FLOW_OPERAND_SCOPE_MISMATCH", None), "unit": ("UNSUPPORTED", "FLOW_OPERAND_UNIT_MISMATCH", None), "one": ("UNSUPPORTED", "FLOW_NEEDS_TWO_EXCLUSIONS", None),
+        "doubt": ("FLOW_RELATION_AMBIGUOUS", "FLOW_RELATION_CUE_CONFLICT", None), "big": ("FLOW_BALANCED", None, 100),
+    }
