@@ -90,3 +90,37 @@ def reconcile(packet: DataFrame) -> DataFrame:
         .otherwise(F.lit("disagreement"))
     )
     return packet.withColumn("state", state)
+
+
+def registry_violations(works: DataFrame) -> DataFrame:
+    """(work_id, violation) of (work_id, family, source_sha256, label, eligible): one row a work, one label a family, one family a source."""
+    from pyspark.sql import Window
+
+    by = lambda c: Window.partitionBy(c)
+    kind = F.struct("label", "eligible")
+    rows = works.withColumns({
+        "twice": F.count("*").over(by("work_id")) > 1, "mixed": F.min(kind).over(by("family")) != F.max(kind).over(by("family")),
+        "shared": F.min("family").over(by("source_sha256")) != F.max("family").over(by("source_sha256")),
+    })
+    found = F.array_compact(F.array(F.when(F.col("twice"), "DUPLICATE_WORK"), F.when(F.col("mixed"), "FAMILY_LABEL_NOT_CONSTANT"), F.when(F.col("shared"), "SOURCE_IN_SEVERAL_FAMILIES")))
+    return rows.withColumn("found", found).select("work_id", F.explode("found").alias("violation")).distinct()
+
+
+#: Kinds of a run's failures by the reason it gave.
+SPAN_REASONS = ("unsupported_header_spans", "unsupported_data_cell_spans")
+ROUNDING_REASON, METHOD_REASON, CONTEXT_REASON = "source_rounding_convention_not_modeled", "adjustment_method_scope_not_mapped", "percentage_context_not_explicit"
+
+
+def taxonomy(matched: DataFrame) -> DataFrame:
+    """Annotations (denominator) matched with results (found_denominator, status, reason): what kind of outcome, first that holds."""
+    kind = (
+        F.when(F.col("found_denominator") != F.col("denominator"), "wrong_denominator")
+        .when(F.col("status").isNull(), "missing")
+        .when(F.col("reason").isin(*SPAN_REASONS), "table_layout")
+        .when(F.col("reason") == METHOD_REASON, "adjustment")
+        .when(F.col("reason") == ROUNDING_REASON, "rounding")
+        .when(F.col("reason") == CONTEXT_REASON, "context_not_explicit")
+        .when(F.col("reason").isNotNull(), "other_reason")
+        .otherwise("supported")
+    )
+    return matched.withColumn("outcome", kind)
