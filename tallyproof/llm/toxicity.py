@@ -9,7 +9,8 @@ c are the class's bigram counts (one a text), k(w) its continuation counts (dist
 w), K their sum, a and b the mass that the discounts free, and s(w) the shared backoff: counts over
 every document of the corpus, labelled or not. The discount d(x, E) = max(x - E - Z sqrt(E) - D, 0)
 takes off what the shared counts alone lead to expect in a class of this size, E, with its sampling
-error, and D. So an expression that is rare in a class, or as frequent as everywhere, falls back to
+error, and D; a word's own mass counts only if, beyond that, more of the class's texts hold it than
+chance explains, and equal texts count once. So an expression that is rare in a class, or as frequent as everywhere, falls back to
 the shared counts in both models and says nothing; only what a class uses more than all others,
 beyond chance, moves a score.
 
@@ -47,6 +48,8 @@ LABELLED = 20_000
 #: Fixed part of the discount of continuation counts and of bigram counts, and its standard errors.
 D1, D2, Z = 3.0, 3.0, 4.0
 EPSILON = 1e-6
+#: Most of a word's probability that its bigram may give.
+BIGRAM = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
 
@@ -122,21 +125,23 @@ def train_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
     def start():
         return lambda labels, texts: (labels, [slots_of(x).astype(np.int32).tobytes() for x in texts])
 
-    return map_rows(rows, start, "label int, words binary")
+    found = map_rows(rows, start, "label int, words binary")
+    # Equal texts are one, with the label that most of them have: copies are no evidence of their own.
+    return found.groupBy("words").agg((F.avg("label") >= 0.5).cast("int").alias("label")).select("label", "words")
 
 
-def class_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By label: continuation counts of words, counts as left words, bigram counts, each over the places.
+def class_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
+    """By label: continuation counts of words, counts as left words, bigram counts and texts with a word, over the places.
 
     Every task sums its own texts; what reaches the driver are sums by place, at most
-    6 x SLOTS numbers.
+    8 x SLOTS numbers.
     """
     ship_code(rows.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        left, pairs = np.zeros((2, SLOTS), np.int64), np.zeros((2, SLOTS), np.int64)
+        left, pairs, texts = (np.zeros((2, SLOTS), np.int64) for _ in range(3))
         follow: list[np.ndarray] = []
         for batch in batches:
             names = batch.schema.get_field_index
@@ -146,11 +151,14 @@ def class_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.
                     # A bigram counts once a text, or one text that repeats itself would weigh as many.
                     places, at = np.unique(pair_slots(w), return_index=True)
                     pairs[label][places] += 1
+                    # Texts that hold a word; place 0, which no word has, counts all texts.
+                    texts[label][np.unique(w)] += 1
+                    texts[label][0] += 1
                     np.add.at(left[label], np.concatenate([[0], w[:-1]])[at], 1)
                     follow.append(((w[at] << 18 | places) << 1) | label)
                     if len(follow) > 500:
                         follow = [np.unique(np.concatenate(follow))]
-        kinds = [(0, left), (1, pairs)]
+        kinds = [(0, left), (1, pairs), (3, texts)]
         for kind, table in kinds:
             for label in (0, 1):
                 used = np.flatnonzero(table[label])
@@ -166,13 +174,14 @@ def class_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.
         )
 
     rows = rows.mapInArrow(run, "kind int, place bigint, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n"))
-    place = F.when(F.col("kind") < 4, F.col("place")).otherwise(F.shiftright("place", 18))
-    value = F.when(F.col("kind") < 4, F.col("n")).otherwise(F.lit(1))
+    typed = F.col("kind").isin(4, 5)
+    place = F.when(~typed, F.col("place")).otherwise(F.shiftright("place", 18))
+    value = F.when(~typed, F.col("n")).otherwise(F.lit(1))
     got = rows.groupBy("kind", place.cast("int").alias("slot")).agg(F.sum(value).alias("n")).toArrow()
     kind, slot, n = (got.column(c).to_numpy() for c in ("kind", "slot", "n"))
-    table = np.zeros((6, SLOTS))
+    table = np.zeros((8, SLOTS))
     table[kind, slot] = n
-    return {label: (table[4 + label], table[label], table[2 + label]) for label in (0, 1)}
+    return {label: (table[4 + label], table[label], table[2 + label], table[6 + label]) for label in (0, 1)}
 
 
 def discounted(counts: np.ndarray, expected: np.ndarray, fixed: float) -> np.ndarray:
@@ -181,26 +190,30 @@ def discounted(counts: np.ndarray, expected: np.ndarray, fixed: float) -> np.nda
 
 @dataclass
 class Side:
-    """A class's model over the places: word probabilities, the mass its discounts free, left counts, discounted bigram counts."""
+    """A class's model over the places: word probabilities, the mass its discounts free, left counts, discounted bigram counts, and which words have mass of their own."""
 
     word: np.ndarray
     free: float
     left: np.ndarray
     pairs: np.ndarray
+    spoken: np.ndarray
 
     @staticmethod
-    def fit(cont: np.ndarray, left: np.ndarray, pairs: np.ndarray, shared: np.ndarray, expected: np.ndarray) -> Side:
-        """expected: of the bigram places, the class's part of both classes' counts."""
+    def fit(cont: np.ndarray, left: np.ndarray, pairs: np.ndarray, shared: np.ndarray, expected: np.ndarray, beyond: np.ndarray) -> Side:
+        """expected: of the bigram places, the class's part of both classes' counts; beyond: words in more of its texts than chance explains."""
         total = max(cont.sum(), 1.0)
-        kept = discounted(cont, total * shared, D1) / total
+        kept = np.where(beyond, discounted(cont, total * shared, D1), 0) / total
         free = 1 - kept.sum()
         own = discounted(pairs, expected, D2)
-        return Side((kept + free * shared).astype(np.float32), free, left.astype(np.float32), own.astype(np.float32))
+        return Side((kept + free * shared).astype(np.float32), free, left.astype(np.float32), own.astype(np.float32), kept > 0)
 
     def log_p(self, words: np.ndarray) -> np.ndarray:
         """Of each word after the one before."""
         before = np.maximum(self.left[np.concatenate([[0], words[:-1]])], 1.0)
-        own = np.minimum(self.pairs[pair_slots(words)] / before, 0.9)
+        counts = self.pairs[pair_slots(words)]
+        # A bigram speaks only where its word does in this class; and it is no commoner than its first
+        # word: a larger count is another bigram's of the same place.
+        own = np.where((counts <= before) & self.spoken[words], counts / before, 0) * BIGRAM
         return np.log(own + (1 - own) * self.word[words])
 
 
@@ -246,8 +259,11 @@ def sides(counts: dict, shared: np.ndarray) -> tuple[Side, Side]:
     pooled = counts[0][2] + counts[1][2]
     out = []
     for label in (1, 0):
-        cont, left, pairs = counts[label]
-        out.append(Side.fit(cont, left, pairs, shared, pooled * (pairs.sum() / max(pooled.sum(), 1.0))))
+        cont, left, pairs, texts = counts[label]
+        # Texts add up over classes, as continuation counts don't, so chance is judged by them.
+        part = texts[0] / max(counts[0][3][0] + counts[1][3][0], 1.0)
+        beyond = discounted(texts, (counts[0][3] + counts[1][3]) * part, D1) > 0
+        out.append(Side.fit(cont, left, pairs, shared, pooled * (pairs.sum() / max(pooled.sum(), 1.0)), beyond))
     return out[0], out[1]
 
 
