@@ -21,7 +21,7 @@ Candidates come without pairing a bucket's members with each other:
 3. Only clusters whose members aren't linked into one component yet are compared in full. Their
    members, put in order of component, are cut into blocks of BLOCK, and pairs of blocks that hold
    two components go to a task each. There an index of shared shingles counts a member's exact
-   overlap with all others at once; members of the largest component are compared with nothing,
+   overlap with all others at once; members that end in the largest component are compared with nothing,
    the most central ones are taken first, and only links that join components are given out. So
    many copies of one text cost one comparison each, and no list of pairs is ever made.
 
@@ -181,22 +181,37 @@ def central_first(sketch: np.ndarray) -> np.ndarray:
     return np.argsort((bits != (bits.mean(axis=0) > 0.5)).sum(axis=1), kind="stable")
 
 
-def joining(order: np.ndarray, label: np.ndarray, hits) -> list[tuple[int, int]]:
-    """Pairs of places that join groups; label: each place's group, changed here; hits(i): places that i goes with."""
+def joining(order: np.ndarray, label: np.ndarray, hits, unseen: np.ndarray | tuple = ()) -> list[tuple[int, int]]:
+    """Pairs of places that join groups; label: each place's group, changed here; hits(i): places that i goes with.
+
+    Two places may both stay without a look only if they end in one group, and the largest group
+    changes while groups merge. So members of the largest one are put off, with the unseen places,
+    to a second pass, where one group is skipped and keeps its label.
+    """
     found: list[tuple[int, int]] = []
     count = np.bincount(label)
-    for i in order:
-        if label[i] == count.argmax():
-            if count.max() == len(label):
-                break
-            continue
+
+    def look(i, keep=-1):
         for j in hits(i):
             if label[j] != label[i]:
                 found.append((int(i), int(j)))
-                old, new = label[j], label[i]
+                old, new = (label[i], label[j]) if label[j] == keep else (label[j], label[i])
                 label[label == old] = new
                 count[new] += count[old]
                 count[old] = 0
+
+    later = list(unseen)
+    for i in order:
+        if label[i] != count.argmax():
+            look(i)
+        elif count.max() == len(label):
+            return found
+        else:
+            later.append(i)
+    skipped = count.argmax()
+    for i in later:
+        if label[i] != skipped:
+            look(i, skipped)
     return found
 
 
@@ -276,11 +291,11 @@ def far_ties(members: DataFrame, most: int) -> DataFrame:
         label = np.where(near, 0, np.arange(len(ids)) + 1)
         words = sketch.view(np.uint64)
         hits = lambda i: np.flatnonzero(np.bitwise_count(words ^ words[i]).sum(axis=1) <= most)
-        # The near ones are one group already, and its ties are known: only far ones are looked at.
+        # The near ones are one group already, and its ties are known: they are looked at only if a far group outgrows it.
         far = np.flatnonzero(~near)
         if not len(far):
             return []
-        return joining(far[central_first(sketch[far])], np.unique(label, return_inverse=True)[1], hits)
+        return joining(far[central_first(sketch[far])], np.unique(label, return_inverse=True)[1], hits, np.flatnonzero(near))
 
     def run(batches):
         import pyarrow as pa

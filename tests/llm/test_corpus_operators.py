@@ -113,6 +113,39 @@ def test_groups_whose_copies_are_linked_through_one_text(spark, monkeypatch):
     assert got == groups(docs, 4)
 
 
+def merged(label, pairs):
+    """Groups as sets of places, after the pairs join them."""
+    label = list(label)
+    for a, b in pairs:
+        old, new = label[a], label[b]
+        label = [new if x == old else x for x in label]
+    return {frozenset(i for i, x in enumerate(label) if x == g) for g in label}
+
+
+def test_families_bridged_by_single_pairs_join_though_the_largest_changes():
+    # A leads and its bridge 0-8 is put off; then B and C merge through 5-9 and outgrow A.
+    label, edges = [0] * 5 + [1] * 4 + [2] * 4, {(0, 8), (5, 9)}
+    cases = [(label, edges, [0, 5, 8, 9, *range(1, 5), 6, 7, 10, 11, 12])]
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(rng.integers(4, 30))
+        cases.append((rng.integers(0, n // 2, n), set(map(tuple, rng.integers(0, n, (n // 3, 2)).tolist())), rng.permutation(n)))
+    for label, edges, order in cases:
+        hits = lambda i, e=edges: sorted({b for a, b in e if a == i} | {a for a, b in e if b == i} | {i})
+        found = near_dup.joining(np.array(order), np.unique(label, return_inverse=True)[1], hits)
+        assert merged(label, found) == merged(label, edges)
+
+
+def test_far_groups_that_outgrow_the_near_one_are_tied_to_it(spark):
+    """A bucket of two near members and a larger far family; only one far member, which the first look takes in, ties to a near one."""
+    at = lambda *bits: np.packbits(np.isin(np.arange(near_dup.BITS), bits)).view(np.int64).tolist()
+    family = [at(*range(k, k + 20)) for k in range(5)]
+    rows = [("k", 1, True, at(*range(200, 220))), ("k", 2, True, at(*range(6, 26)))] + [("k", 10 + k, False, x) for k, x in enumerate(family)]
+    df = spark.createDataFrame([(7, *r[1:]) for r in rows], "key bigint, id bigint, near boolean, sketch array<bigint>")
+    found = [(r.a, r.b) for r in near_dup.far_ties(df, 4).collect()]
+    assert len(merged(range(16), [(1, 2), *found]) & {frozenset([1, 2, *range(10, 15)])}) == 1
+
+
 def test_near_duplicates_of_nothing(empty_documents):
     assert near_dup.near_duplicates(empty_documents).count() == 0
 
