@@ -182,23 +182,34 @@ def candidate_components(spark, sf_dir):
 def exact_family_tests(spark, sf_dir):
     """Exact p and harm bound of wins and losses by part of a language: big integers, so a Python function on a few rows.
 
-    Families are parts of at most a few hundred documents, as the exact tests are for at most 2,048.
+    The exact tests are for at most 2,048 families. A language has 64 parts, doubled until
+    they are of half that size on average at most, so none passes it by chance. One that does (a
+    document with as many labels) is a row with a status and no results.
     """
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return family_tests(rows)
+
+
+def family_tests(rows):
+    """lang, part, wins, losses, n, p_upper, harm_upper and status of rows (doc_id, lang, quality, toxic)."""
     from tallyproof.functions import statistics
     from tallyproof.functions.rationals import outward
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
-    g = rows.groupBy("lang", part.alias("part")).agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("wins"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("losses"), F.count("*").alias("n"))
+    size = statistics.MAX_FAMILIES // 2
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(64 * size))))
+    parts = rows.groupBy(F.col("lang").alias("of")).agg(F.pow(F.lit(2), doublings + 6).cast("bigint").alias("parts"))
+    dealt = rows.join(parts, F.col("lang").eqNullSafe(F.col("of")))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    g = dealt.groupBy("lang", part.alias("part")).agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("wins"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("losses"), F.count("*").alias("n"))
 
     def run(frames):
         for f in frames:
-            f = f[(f.n <= statistics.MAX_FAMILIES)]
-            p = [outward(statistics.discordance_p(int(w), int(x)), True) for w, x in zip(f.wins, f.losses, strict=True)]
-            harm = [outward(statistics.harm_upper(int(x), 0, int(n), Fraction(1, 40)), True) if n else None for x, n in zip(f.losses, f.n, strict=True)]
-            yield f.assign(p_upper=p, harm_upper=harm)
+            fits = f.n <= statistics.MAX_FAMILIES
+            p = [outward(statistics.discordance_p(int(w), int(x)), True) if ok else None for w, x, ok in zip(f.wins, f.losses, fits, strict=True)]
+            harm = [outward(statistics.harm_upper(int(x), 0, int(n), Fraction(1, 40)), True) if ok else None for x, n, ok in zip(f.losses, f.n, fits, strict=True)]
+            yield f.assign(p_upper=p, harm_upper=harm, status=["computed" if ok else "too_many_families" for ok in fits])
 
-    return g.mapInPandas(run, "lang string, part bigint, wins bigint, losses bigint, n bigint, p_upper string, harm_upper string")
+    return g.mapInPandas(run, "lang string, part bigint, wins bigint, losses bigint, n bigint, p_upper string, harm_upper string, status string")
 
 
 @query(

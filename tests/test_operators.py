@@ -204,3 +204,20 @@ def test_flows_read_from_text(spark):
         "other": ("UNSUPPORTED", "FLOW_OPERAND_SCOPE_MISMATCH", None), "unit": ("UNSUPPORTED", "FLOW_OPERAND_UNIT_MISMATCH", None), "one": ("UNSUPPORTED", "FLOW_NEEDS_TWO_EXCLUSIONS", None),
         "doubt": ("FLOW_RELATION_AMBIGUOUS", "FLOW_RELATION_CUE_CONFLICT", None), "big": ("FLOW_BALANCED", None, 100),
     }
+
+
+def test_no_family_part_is_dropped_as_the_table_grows(spark):
+    from pyspark.sql import functions as F
+
+    from tallyproof.plans.documents import family_tests
+
+    rows = spark.range(140_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    few = spark.range(50).select("id", F.lit(None).cast("string"), F.lit(1), F.lit(0))
+    # A document of 3,000 labels can't be dealt any finer.
+    many = spark.range(3000).select(F.lit(7).cast("bigint"), F.lit("de"), F.lit(0), F.lit(0))
+    got = family_tests(rows.union(few).union(many)).collect()
+    n = lambda lang: sum(r.n for r in got if r.lang == lang)
+    assert (n("en"), n(None), n("de")) == (140_000, 50, 3000)
+    assert sum(r.lang == "en" for r in got) == 256 and all(r.status == "computed" and r.p_upper for r in got if r.lang != "de")
+    assert [(r.status, r.p_upper, r.harm_upper) for r in got if r.lang == "de"] == [("too_many_families", None, None)]
+    assert all(r.part < 64 for r in got if r.lang is None)
