@@ -18,8 +18,10 @@ A text's evidence is log p_toxic - log p_ordinary over its words, divided by the
 to a power (the length normaliser). A logistic curve with two coefficients, fitted together with
 that power on the training rows, turns it into a score of 0 to 1.
 
-Words are hashed into a table of SLOTS places, so the model that is sent to executors is of one
-fixed size however large the corpus is. The shared counts are summed by Spark over all rows of the
+Counts are kept by 64-bit keys of words and bigrams in Spark's tables, which grow with the corpus.
+A word that passes no discount adds nothing to the evidence, whatever its shared count, so the
+model that is sent to executors holds the words and bigrams that do pass, each with counts of its
+own; they are of the labelled rows' vocabulary. The shared counts are summed over all rows of the
 corpus. The class counts come from at most LABELLED labelled rows, those of the least hash of
 doc_id, a documented bound; within it whole texts are used.
 
@@ -31,18 +33,16 @@ are no input of a score; other columns are never read.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import Recent, docs_of, map_rows, ship_code
+from tallyproof.llm.common import Recent, cut, docs_of, map_rows, ship_code
 
-#: Places of the hashed tables of words and of bigrams.
-SLOTS = 1 << 18
 #: Labelled rows that class models are fitted on, at most.
 LABELLED = 20_000
 #: Fixed part of the discount of continuation counts and of bigram counts, and its standard errors.
@@ -52,10 +52,12 @@ EPSILON = 1e-6
 BIGRAM = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
+#: Words that a task gathers before it sums them up.
+HELD = 1 << 20
 
 
-class Slots:
-    """Place of a word in the tables, kept in a bounded cache."""
+class Keys:
+    """64-bit key of a word, kept in a bounded cache."""
 
     def __init__(self):
         self.known = Recent(CACHE)
@@ -65,50 +67,73 @@ class Slots:
         for word in WORD.findall(text.lower()):
             x = get(word)
             if x is None:
-                # A one, so that no place is 0 and Recent can tell it from nothing.
-                x = zlib.crc32(word.encode()) % (SLOTS - 1) + 1
+                # Never 0, which stands for the begin of a text.
+                x = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
                 put(word, x)
             out.append(x)
         return np.array(out, dtype=np.int64)
 
 
-_slots: list[Slots] = []
+_keys: list[Keys] = []
 
 
-def slots_of(text: str | None) -> np.ndarray:
-    if not _slots:
-        _slots.append(Slots())
-    return _slots[0].of(text or "")
+def keys_of(text: str | None) -> np.ndarray:
+    if not _keys:
+        _keys.append(Keys())
+    return _keys[0].of(text or "")
 
 
-def pair_slots(words: np.ndarray) -> np.ndarray:
-    """Place of each bigram in the bigram table; the first word follows place 0."""
-    left = np.concatenate([[0], words[:-1]])
+def before(words: np.ndarray) -> np.ndarray:
+    """The word before each; the first follows 0."""
+    return np.concatenate([[0], words[:-1]]).astype(np.int64)
+
+
+def pair_keys(left: np.ndarray, words: np.ndarray) -> np.ndarray:
     mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(20)).astype(np.int64) % SLOTS
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each place over all rows: every task sums its own, then Spark sums by place."""
-    ship_code(docs.sparkSession)
+def corpus_counts(docs: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Occurrences of each wanted word over all rows, of all words, and the number of distinct words: every task sums its own, then Spark sums by word."""
+    spark = docs.sparkSession
+    ship_code(spark)
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(SLOTS, np.int64)
+        def summed(keys, n):
+            keys, at = np.unique(keys, return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, at, n)
+            return keys, total
+
+        def rows(keys, n):
+            for at in range(0, len(keys), HELD // 4):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + HELD // 4]), pa.array(n[at : at + HELD // 4])], names=["word", "n"])
+
+        keys, n, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         for batch in batches:
             for text in batch.column(batch.schema.get_field_index("text")):
-                np.add.at(total, slots_of(text.as_py()), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(SLOTS)
-    got = rows.toArrow()
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return out
+                held.append(keys_of(text.as_py()))
+                size += len(held[-1])
+                if size > HELD:
+                    found = np.concatenate(held)
+                    keys, n = summed(np.concatenate([keys, found]), np.concatenate([n, np.ones(len(found), np.int64)]))
+                    held, size = [], 0
+                    if len(keys) > HELD:
+                        yield from rows(keys, n)
+                        keys, n = keys[:0], n[:0]
+        found = np.concatenate([keys[:0], *held])
+        yield from rows(*summed(np.concatenate([keys, found]), np.concatenate([n, np.ones(len(found), np.int64)])))
+
+    rows = docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    asked = spark.createDataFrame([(int(x),) for x in wanted], "asked bigint")
+    # The words that nobody asks for are one row, that of null.
+    got = rows.join(F.broadcast(asked), F.col("word") == F.col("asked"), "left").groupBy("asked").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
+    by = {r.asked: r.n for r in got}
+    return np.array([by.get(int(x), 0) for x in wanted], float), sum(by.values()), sum(r.types for r in got)
 
 
 def labelled(labels: DataFrame, wanted: Column, label: str = "toxic", limit: int = LABELLED) -> DataFrame:
@@ -119,106 +144,70 @@ def labelled(labels: DataFrame, wanted: Column, label: str = "toxic", limit: int
 
 
 def train_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(label, words, n): places of each labelled text's words. The sample is bounded, so it is broadcast."""
+    """(label, words): keys of each labelled text's words. The sample is bounded, so it is broadcast."""
     rows = docs.join(F.broadcast(sample), "doc_id").select("label", "text")
 
     def start():
-        return lambda labels, texts: (labels, [slots_of(x).astype(np.int32).tobytes() for x in texts])
+        return lambda labels, texts: (labels, [keys_of(x).tobytes() for x in texts])
 
     found = map_rows(rows, start, "label int, words binary")
     # Equal texts are one, with the label that most of them have: copies are no evidence of their own.
     return found.groupBy("words").agg((F.avg("label") >= 0.5).cast("int").alias("label")).select("label", "words")
 
 
-def class_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
-    """By label: continuation counts of words, counts as left words, bigram counts and texts with a word, over the places.
-
-    Every task sums its own texts; what reaches the driver are sums by place, at most
-    8 x SLOTS numbers.
-    """
+def class_counts(rows: DataFrame) -> DataFrame:
+    """(v, w, n0, n1): by label the texts that hold the bigram v w; v is null for those that hold the word w, and w too for all texts."""
     ship_code(rows.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        left, pairs, texts = (np.zeros((2, SLOTS), np.int64) for _ in range(3))
-        follow: list[np.ndarray] = []
         for batch in batches:
             names = batch.schema.get_field_index
             for label, words in zip(batch.column(names("label")).to_pylist(), batch.column(names("words")).to_pylist(), strict=True):
-                w = np.frombuffer(words, np.int32).astype(np.int64)
+                w = np.frombuffer(words, np.int64)
                 if len(w):
                     # A bigram counts once a text, or one text that repeats itself would weigh as many.
-                    places, at = np.unique(pair_slots(w), return_index=True)
-                    pairs[label][places] += 1
-                    # Texts that hold a word; place 0, which no word has, counts all texts.
-                    texts[label][np.unique(w)] += 1
-                    texts[label][0] += 1
-                    np.add.at(left[label], np.concatenate([[0], w[:-1]])[at], 1)
-                    follow.append(((w[at] << 18 | places) << 1) | label)
-                    if len(follow) > 500:
-                        follow = [np.unique(np.concatenate(follow))]
-        kinds = [(0, left), (1, pairs), (3, texts)]
-        for kind, table in kinds:
-            for label in (0, 1):
-                used = np.flatnonzero(table[label])
-                n = len(used)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, 2 * kind + label, np.int32)), pa.array(used), pa.array(table[label][used])], names=["kind", "place", "n"]
-                )
-        # A bigram type is a row of its own until Spark has seen which tasks share it.
-        types = np.unique(np.concatenate(follow)) if follow else np.zeros(0, np.int64)
-        n = len(types)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((4 + (types & 1)).astype(np.int32)), pa.array(types >> 1), pa.array(np.ones(n, np.int64))], names=["kind", "place", "n"]
-        )
-
-    rows = rows.mapInArrow(run, "kind int, place bigint, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n"))
-    typed = F.col("kind").isin(4, 5)
-    place = F.when(~typed, F.col("place")).otherwise(F.shiftright("place", 18))
-    value = F.when(~typed, F.col("n")).otherwise(F.lit(1))
-    got = rows.groupBy("kind", place.cast("int").alias("slot")).agg(F.sum(value).alias("n")).toArrow()
-    kind, slot, n = (got.column(c).to_numpy() for c in ("kind", "slot", "n"))
-    table = np.zeros((8, SLOTS))
-    table[kind, slot] = n
-    return {label: (table[4 + label], table[label], table[2 + label], table[6 + label]) for label in (0, 1)}
+                    v, pair = np.unique(np.stack([before(w), w]), axis=1)
+                    types = np.unique(w)
+                    v = pa.concat_arrays([pa.array(v), pa.nulls(len(types) + 1, pa.int64())])
+                    w = pa.concat_arrays([pa.array(pair), pa.array(types), pa.nulls(1, pa.int64())])
+                    yield pa.RecordBatch.from_arrays([v, w, pa.array(np.full(len(v), label, np.int32))], names=["v", "w", "label"])
+
+    found = rows.mapInArrow(run, "v bigint, w bigint, label int")
+    return cut(found.groupBy("v", "w").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")))
 
 
 def discounted(counts: np.ndarray, expected: np.ndarray, fixed: float) -> np.ndarray:
     return np.maximum(counts - expected - Z * np.sqrt(expected) - fixed, 0)
 
 
+def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
 @dataclass
 class Side:
-    """A class's model over the places: word probabilities, the mass its discounts free, left counts, discounted bigram counts, and which words have mass of their own."""
+    """A class's model: its probability of each of the model's words, the mass its discounts free, and the share of each of the model's bigrams in its first word."""
 
     word: np.ndarray
     free: float
-    left: np.ndarray
     pairs: np.ndarray
-    spoken: np.ndarray
-
-    @staticmethod
-    def fit(cont: np.ndarray, left: np.ndarray, pairs: np.ndarray, shared: np.ndarray, expected: np.ndarray, beyond: np.ndarray) -> Side:
-        """expected: of the bigram places, the class's part of both classes' counts; beyond: words in more of its texts than chance explains."""
-        total = max(cont.sum(), 1.0)
-        kept = np.where(beyond, discounted(cont, total * shared, D1), 0) / total
-        free = 1 - kept.sum()
-        own = discounted(pairs, expected, D2)
-        return Side((kept + free * shared).astype(np.float32), free, left.astype(np.float32), own.astype(np.float32), kept > 0)
-
-    def log_p(self, words: np.ndarray) -> np.ndarray:
-        """Of each word after the one before."""
-        before = np.maximum(self.left[np.concatenate([[0], words[:-1]])], 1.0)
-        counts = self.pairs[pair_slots(words)]
-        # A bigram speaks only where its word does in this class; and it is no commoner than its first
-        # word: a larger count is another bigram's of the same place.
-        own = np.where((counts <= before) & self.spoken[words], counts / before, 0) * BIGRAM
-        return np.log(own + (1 - own) * self.word[words])
+
+    def log_p(self, at: np.ndarray, pair: np.ndarray, known: np.ndarray) -> np.ndarray:
+        own = np.where(known, self.pairs[pair] if len(self.pairs) else 0.0, 0.0) * BIGRAM
+        return np.log(own + (1 - own) * self.word[at])
 
 
 @dataclass
 class Model:
+    #: Sorted keys of the words and of the bigrams that either class uses beyond the shared counts.
+    words: np.ndarray
+    pairs: np.ndarray
     toxic: Side
     ordinary: Side
     #: What a word that neither class supports would add: it says nothing, so it is taken off.
@@ -228,10 +217,13 @@ class Model:
     shift: float = -4 * EPSILON
 
     def evidence(self, words: np.ndarray) -> tuple[float, int]:
-        """Sum of log-likelihood differences, and the number of words."""
-        if not len(words):
-            return 0.0, 0
-        return float((self.toxic.log_p(words) - self.ordinary.log_p(words)).sum()) - self.neutral * len(words), len(words)
+        """Sum of log-likelihood differences, and the number of words. Both models give other words the shared counts alone, so those add the neutral value."""
+        at, known = find(self.words, words)
+        if not known.any():
+            return 0.0, len(words)
+        pair, tied = find(self.pairs, pair_keys(before(words)[known], words[known]))
+        at = at[known]
+        return float((self.toxic.log_p(at, pair, tied) - self.ordinary.log_p(at, pair, tied)).sum()) - self.neutral * len(at), len(words)
 
     def score(self, evidence: float, n: int) -> float:
         z = self.slope * evidence / max(n, 1) ** self.power + self.shift
@@ -254,36 +246,59 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / scale), float(w[1]), loss
 
 
-def sides(counts: dict, shared: np.ndarray) -> tuple[Side, Side]:
-    """The toxic and the ordinary model."""
-    pooled = counts[0][2] + counts[1][2]
+def more(counts: Column, expected: Column, fixed: float) -> Column:
+    """discounted() of columns."""
+    return F.greatest(counts - expected - Z * F.sqrt(expected) - fixed, F.lit(0.0))
+
+
+def fit(docs: DataFrame, counts: DataFrame) -> Model | None:
+    """The model of class_counts(); all that grows with the vocabulary stays in Spark's tables, the words and bigrams that pass the discounts come to the driver."""
+    texts = counts.where("v is null and w is null").collect()
+    if not texts or not (texts[0].n0 and texts[0].n1):
+        return None
+    number = texts[0].n0, texts[0].n1
+    pairs = counts.where("v is not null")
+    total = pairs.agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in (0, 1)), *(F.count_if(F.col(f"n{k}") > 0).alias(f"k{k}") for k in (0, 1))).first()
+    both = F.col("n0") + F.col("n1")
+    # Texts add up over classes, as continuation counts don't, so chance is judged by them.
+    beyond = [(more(F.col(f"n{k}"), both * (number[k] / sum(number)), D1) > 0).alias(f"beyond{k}") for k in (0, 1)]
+    named = counts.where("v is null and w is not null").select("w", *beyond).where("beyond0 or beyond1")
+    cont = pairs.groupBy("w").agg(*(F.count_if(F.col(f"n{k}") > 0).alias(f"k{k}") for k in (0, 1)))
+    got = named.join(cont, "w").toArrow().sort_by("w")
+    words = got.column("w").to_numpy()
+    shared, occurrences, types = corpus_counts(docs, words)
+    # One more of each word.
+    shared = (shared + 1) / max(occurrences + types, 1)
+    kept = [np.where(got.column(f"beyond{k}").to_numpy(), discounted(got.column(f"k{k}").to_numpy(), total[f"k{k}"] * shared, D1), 0) / total[f"k{k}"] for k in (0, 1)]
+    # A bigram speaks only where its word does in this class.
+    speaks = docs.sparkSession.createDataFrame([(int(w), bool(a), bool(b)) for w, a, b in zip(words, kept[0] > 0, kept[1] > 0, strict=True)], "w bigint, s0 boolean, s1 boolean")
+    own = [F.when(F.col(f"s{k}"), more(F.col(f"n{k}"), both * (total[f"n{k}"] / (total["n0"] + total["n1"])), D2)).otherwise(0.0).alias(f"own{k}") for k in (0, 1)]
+    left = pairs.groupBy("v").agg(F.sum("n0").alias("l0"), F.sum("n1").alias("l1"))
+    tied = pairs.join(F.broadcast(speaks.where("s0 or s1")), "w").select("v", "w", *own).where("own0 > 0 or own1 > 0").join(left, "v").toArrow()
+    keys = pair_keys(tied.column("v").to_numpy(), tied.column("w").to_numpy())
+    order = np.argsort(keys)
     out = []
-    for label in (1, 0):
-        cont, left, pairs, texts = counts[label]
-        # Texts add up over classes, as continuation counts don't, so chance is judged by them.
-        part = texts[0] / max(counts[0][3][0] + counts[1][3][0], 1.0)
-        beyond = discounted(texts, (counts[0][3] + counts[1][3]) * part, D1) > 0
-        out.append(Side.fit(cont, left, pairs, shared, pooled * (pairs.sum() / max(pooled.sum(), 1.0)), beyond))
-    return out[0], out[1]
+    for k in (0, 1):
+        free = 1 - kept[k].sum()
+        share = tied.column(f"own{k}").to_numpy() / np.maximum(tied.column(f"l{k}").to_numpy(), 1)
+        out.append(Side(kept[k] + free * shared, float(free), share[order]))
+    neutral = float(np.log(max(out[1].free, 1e-9)) - np.log(max(out[0].free, 1e-9)))
+    return Model(words, keys[order], out[1], out[0], neutral)
 
 
 def train(docs: DataFrame, labels: DataFrame, wanted: Column | None = None, label: str = "toxic", limit: int = LABELLED) -> Model | None:
     """docs: of docs_of(binary=False). wanted: which label rows may be used. None without both classes."""
     spark = docs.sparkSession
     sample = labelled(labels, F.lit(True) if wanted is None else wanted, label, limit)
-    rows = train_rows(docs, sample)
-    counts = class_counts(rows)
-    if not (counts[0][1].sum() and counts[1][1].sum()):
+    rows = cut(train_rows(docs, sample))
+    model = fit(docs, class_counts(rows))
+    if model is None:
         return None
-    shared = corpus_counts(docs) + 1.0
-    shared /= shared.sum()
-    toxic, ordinary = sides(counts, shared)
-    model = Model(toxic, ordinary, float(np.log(max(toxic.free, 1e-9)) - np.log(max(ordinary.free, 1e-9))))
     held = spark.sparkContext.broadcast(model)
 
     def start():
         def one(label, words):
-            w = np.frombuffer(words, np.int32).astype(np.int64)
+            w = np.frombuffer(words, np.int64)
             return held.value.evidence(w)
 
         return lambda labels, words: (labels, *zip(*map(one, labels, words), strict=True))
@@ -305,7 +320,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             m = held.value
             if m is None:
                 return 0, 0.0, 0.5 - EPSILON
-            evidence, n = m.evidence(slots_of(text))
+            evidence, n = m.evidence(keys_of(text))
             return n, evidence, m.score(evidence, n)
 
         return lambda ids, texts: (ids, *zip(*map(one, texts), strict=True))

@@ -209,6 +209,29 @@ def test_toxicity_held_out(spark, labelled):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxic_word_keeps_counts_of_its_own(spark):
+    """A word that would share a place of a table of 2^18 with a word of every ordinary text."""
+    import itertools
+    import random
+    import string
+    import zlib
+
+    place = lambda x: zlib.crc32(x.encode()) % ((1 << 18) - 1)
+    other = next(x for x in map("".join, itertools.product(string.ascii_lowercase, repeat=5)) if place(x) == place("vile"))
+    rng = random.Random(6)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=3)) for _ in range(300)]
+    texts = [" ".join([*rng.choices(words, k=20), "vile" if i % 4 == 0 else other, *rng.choices(words, k=5)]) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in rows)
+    word = toxicity.keys_of(f"vile {other} never")
+    n = [sum(t.split().count(x) for t in texts) for x in ("vile", other)]
+    counted = [toxicity.WORD.findall(t.lower()) for t in texts]
+    got, occurrences, types = toxicity.corpus_counts(docs, word)
+    assert (got.tolist(), occurrences, types) == ([*n, 0], sum(map(len, counted)), len(set().union(*counted)))
+
+
 def test_mixing_meets_targets(spark, labelled):
     from tallyproof.llm.queries import domain
 
