@@ -46,10 +46,11 @@ CLOSES = {
 }
 #: Elements that an end tag, or closing by CLOSES, doesn't reach over.
 SCOPES = frozenset("html body table td th article section div aside nav footer header main ul ol dl".split())
+#: Classes and ids, each a whole token, maybe with a number at its end.
 HINTS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsense|adslot|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|footer|masthead|topbar|site-header|page-header|toolbar|pagination|pager|skip"
-    r"|related|recommend(?:ed|ations?)?|trending|popular|share|sharing|social|comments?|commentlist|disqus|replies|respond|hidden|sr-only|login|search|tags|tagcloud|copyright|legal|disclaimer)(?:$|[-_\s\d])",
+    r"(?:ads?|adverts?|advertisement|advertising|adsense|adslot|ad-(?:box|slot|unit|container|wrapper|banner)|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|cookie-(?:banner|notice|consent|bar)|consent|gdpr|notice|alert|popup|modal|overlay|newsletter(?:-signup)?|subscribe|subscription|signup|paywall"
+    r"|nav|navbar|navigation|(?:main|site|top)-(?:nav|menu)|menu|breadcrumbs?|sidebar|side|rail|widget|footer|masthead|topbar|site-header|site-footer|page-header|page-footer|toolbar|pagination|pager|skip(?:-link)?"
+    r"|related|related-(?:posts|articles|stories|links)|recommend(?:ed|ations?)?|trending|popular|share|share-(?:bar|buttons|links)|social|social-(?:bar|buttons|links|share)|sharing|comments?|comment-(?:list|form|section)|commentlist|disqus|replies|respond|hidden|sr-only|login|search|tags|tagcloud|copyright|legal|disclaimer)(?:[-_]?\d+)?",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -122,7 +123,7 @@ class Tree(HTMLParser):
         self.at.kids.append(data)
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
+def boilerplate(node: Node, in_article: bool, wraps: bool) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in ("body", "html", "article", "main"):
         return False
@@ -134,7 +135,7 @@ def boilerplate(node: Node, in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
-    return any(HINTS.search(attrs.get(k, "")) for k in ("class", "id")) and tag not in ("p", "h1", "span", "a", "b", "i", "em", "strong")
+    return not wraps and any(HINTS.fullmatch(x.replace("_", "-")) for k in ("class", "id") for x in attrs.get(k, "").split()) and tag not in ("p", "h1", "span", "a", "b", "i", "em", "strong")
 
 
 def below(node: Node):
@@ -145,12 +146,23 @@ def below(node: Node):
         stack.extend(k for k in x.kids if isinstance(k, Node))
 
 
+def wrappers(root: Node) -> set[Node]:
+    """Nodes round the main part or the heading (round an article where there is neither) that hold more than half of the page's text."""
+    nodes = order(root)
+    size: dict[Node, int] = {}
+    for x in reversed(nodes):
+        size[x] = 0 if x.tag in DROPPED else sum(len(k.strip()) if isinstance(k, str) else size[k] for k in x.kids)
+    marks = [x for x in nodes if x.tag in ("main", "h1")] or [x for x in nodes if x.tag == "article"]
+    return {a for x in marks for a in ancestors(x) if 2 * size[a] > size[root]}
+
+
 def prune(root: Node) -> None:
+    wraps = wrappers(root)
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        node.kids = [k for k in node.kids if isinstance(k, str) or not boilerplate(k, inside)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or not boilerplate(k, inside, k in wraps)]
         # A comment thread as articles inside an article: each marked by a class was dropped above.
         stack.extend((k, inside) for k in node.kids if isinstance(k, Node))
 

@@ -168,3 +168,12 @@ def test_pages(spark):
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert got == {i: t for i, t in enumerate(PAGES.values())} | {99: ""}
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+STORY = "<h1>Head</h1><p>" + "Long enough text of the page itself, with words. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "main-content with-sidebar", "no-sidebar", "post tag-social", "sidebar"])
+def test_wrappers_of_the_article_stay(name):
+    page = f"<body><div class='{name}'><article>{STORY}</article><div class='sidebar'>Other things</div><div id='comments'><p>I liked this</p></div></div></body>"
+    assert html_text.main_text(page) == html_text.main_text(f"<body><article>{STORY}</article></body>") != ""
