@@ -9,7 +9,9 @@ where C are characters, T tags, L link characters, N the characters outside link
 (1 for none of any of these; T' = T): long runs of text with few tags and few links are dense. A
 node's density sum adds up its children's densities. The node of the largest sum is found; the
 least density on the path from it to body is the threshold; the children of body that reach it
-lead to the subtrees taken: in each, the node of the largest sum.
+lead to the subtrees taken: in each, the node of the largest sum. Where the densest node lies in
+an article or main element, or most of its text lies in such, these bound the text instead; of
+several, those taken reach the threshold.
 
 Nodes that can't be article text (navigation, headers and footers of the page, forms, scripts,
 hidden parts, and those whose class, id or role names an advert, a notice, a sidebar, a menu or
@@ -204,14 +206,16 @@ def chosen(body: Node) -> list[Node]:
     """The subtrees of main text, in page order."""
     nodes = order(body)
     best = max(nodes, key=lambda x: x.sum)
-    marked = [x for x in nodes if x.tag == "article" and not any(a.tag == "article" for a in ancestors(x))]
-    marked = marked or [x for x in nodes if x.tag == "main"]
-    if marked:
-        # A page that marks its article says where the path from the densest node has to pass.
-        around = [x for x in (best, *ancestors(best)) if x in marked]
-        return around or [max(marked, key=lambda x: x.chars)]
     path = [best, *ancestors(best)]
     threshold = min(x.density for x in path)
+    marked = [x for x in nodes if x.tag == "article" and not any(a.tag == "article" for a in ancestors(x))]
+    marked = marked or [x for x in nodes if x.tag == "main"]
+    around = next((x for x in path if x in marked), None)
+    # A marked element round the densest node bounds the text; so do those that hold most of it. A
+    # split article has several, and the threshold tells its parts from teasers.
+    parts = [x for x in marked if x is around or (x.parent is around.parent if around else best in ancestors(x)) and x.density >= threshold]
+    if around or 2 * sum(x.chars for x in parts) > best.chars:
+        return parts
     taken: list[Node] = []
 
     def take(top: Node) -> None:

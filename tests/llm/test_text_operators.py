@@ -177,3 +177,11 @@ STORY = "<h1>Head</h1><p>" + "Long enough text of the page itself, with words. "
 def test_wrappers_of_the_article_stay(name):
     page = f"<body><div class='{name}'><article>{STORY}</article><div class='sidebar'>Other things</div><div id='comments'><p>I liked this</p></div></div></body>"
     assert html_text.main_text(page) == html_text.main_text(f"<body><article>{STORY}</article></body>") != ""
+
+
+def test_density_chooses_beside_marked_elements():
+    teaser = "<article><h3><a href=x>Another story</a></h3><p><a href=x>Read on</a></p></article>"
+    plain = html_text.main_text(f"<body><div>{STORY}</div></body>")
+    assert html_text.main_text(f"<body><div class='page'>{STORY}</div><div>{teaser * 3}</div></body>") == plain != ""
+    split = html_text.main_text(f"<body><div><article>{STORY}</article><article>{STORY.replace('Head', 'Part two')}</article>{teaser}</div></body>")
+    assert split.startswith("Head") and "Part two" in split and "Another" not in split
