@@ -86,6 +86,8 @@ def test_near_duplicates(odd_documents, w):
     rows = near_dup.near_duplicates(odd_documents, w=w).collect()
     want = groups(texts_of(), w)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == want
+    # The row without doc_id has the text of document 7.
+    assert [r.component_id for r in rows if r.doc_id is None] == [want[7][1]]
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in rows) and len(rows) == len(texts_of())
 
 
@@ -113,6 +115,19 @@ def test_groups_whose_copies_are_linked_through_one_text(spark, monkeypatch):
     assert got == groups(docs, 4)
 
 
+def test_rows_without_doc_id_and_rows_that_share_one(spark):
+    """Near copies without doc_id are grouped with others; rows of one doc_id are grouped each by its own text."""
+    import random
+
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 150, 10**6).split() for _ in range(3))
+    changed = lambda x, k: " ".join([*x[:k], f"z{k}", *x[k + 1 :]])
+    docs = [(None, changed(a, 3)), (5, " ".join(a)), (5, " ".join(b)), (9, changed(b, 7)), (None, " ".join(c)), (None, changed(c, 9)), (9, changed(b, 7))]
+    rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), w=4).collect()
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in rows)
+    assert found == Counter({(None, 5, False): 1, (5, 5, True): 2, (9, 5, False): 2, (None, None, False): 2})
+
+
 def merged(label, pairs):
     """Groups as sets of places, after the pairs join them."""
     label = list(label)
@@ -140,10 +155,10 @@ def test_far_groups_that_outgrow_the_near_one_are_tied_to_it(spark):
     """A bucket of two near members and a larger far family; only one far member, which the first look takes in, ties to a near one."""
     at = lambda *bits: np.packbits(np.isin(np.arange(near_dup.BITS), bits)).view(np.int64).tolist()
     family = [at(*range(k, k + 20)) for k in range(5)]
-    rows = [("k", 1, True, at(*range(200, 220))), ("k", 2, True, at(*range(6, 26)))] + [("k", 10 + k, False, x) for k, x in enumerate(family)]
-    df = spark.createDataFrame([(7, *r[1:]) for r in rows], "key bigint, id bigint, near boolean, sketch array<bigint>")
+    rows = [(1, 1, at(*range(200, 220))), (2, 1, at(*range(6, 26)))] + [(10 + k, 10 + k, x) for k, x in enumerate(family)]
+    df = spark.createDataFrame([(7, *r) for r in rows], "key bigint, id bigint, cluster bigint, sketch array<bigint>")
     found = [(r.a, r.b) for r in near_dup.far_ties(df, 4).collect()]
-    assert len(merged(range(16), [(1, 2), *found]) & {frozenset([1, 2, *range(10, 15)])}) == 1
+    assert len(merged(range(16), found) & {frozenset([1, *range(10, 15)])}) == 1
 
 
 def test_near_duplicates_of_nothing(empty_documents):
