@@ -164,7 +164,7 @@ PAGES = {
 
 def test_pages(spark):
     rows = [(i, f"u{i}", h) for i, h in enumerate(PAGES)] + [(99, None, None)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id bigint, url string, html string, text string, n_chars string")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert got == {i: t for i, t in enumerate(PAGES.values())} | {99: ""}
     assert html_text.extract(df.limit(0)).count() == 0
@@ -185,3 +185,71 @@ def test_density_chooses_beside_marked_elements():
     assert html_text.main_text(f"<body><div class='page'>{STORY}</div><div>{teaser * 3}</div></body>") == plain != ""
     split = html_text.main_text(f"<body><div><article>{STORY}</article><article>{STORY.replace('Head', 'Part two')}</article>{teaser}</div></body>")
     assert split.startswith("Head") and "Part two" in split and "Another" not in split
+
+
+def test_sibling_articles_stray_text_and_plain_words_as_classes():
+    both = html_text.main_text(f"<body><article>{STORY}</article><article><h2>Two</h2><p>Shorter one, but no comment.</p></article></body>")
+    assert both.endswith("Two\n\nShorter one, but no comment.") and both.startswith("Head")
+    links = "<ul>" + "<li><a href=x>Some link text</a></li>" * 8 + "</ul>"
+    plain = html_text.main_text(f"<body><div>{STORY}{STORY}</div>{links}</body>")
+    assert html_text.main_text(f"<body>stray<div>{STORY}{STORY}</div>{links}</body>") == plain != ""
+    assert html_text.main_text(f"<body>only <p>a para</p>{links}</body>") == "only\n\na para"
+    named = "".join(f"<div class='{c}'>About {c}</div>" for c in ("search", "notice", "side", "tags", "legal", "popular"))
+    text = html_text.main_text(f"<body><article>{STORY}{named}<div class='advert'>buy</div></article></body>")
+    assert all(f"About {c}" in text for c in ("search", "notice", "side", "tags", "legal", "popular")) and "buy" not in text
+    sections = "<section><h2>a</h2><p>one two three four</p></section><section><h2>b</h2>" + "<p>one two three four five six seven</p>" * 5 + "</section><section><p>short</p></section>"
+    assert html_text.main_text(f"<body><div><h1>T</h1>{sections}<div>{links}</div></div></body>") == "\n\n".join(["T", "a", "one two three four", "b", *["one two three four five six seven"] * 5, "short"])
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    pages = ["<div>" * 200_000 + "text", "<p>" + "<span>" * 100_000 + "x</b>" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "<article>" * 50_000 + "x", "<!--" * 100_000, "<" * 200_000, "<a x='" * 50_001, "<article>" + "<header>" * 50_000 + "<h1>x"]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 10
+    assert html_text.main_text(pages[0]) == "text" and html_text.main_text("word " * 200_000) == ("word " * 200_000).strip()
+
+
+def test_densities_are_the_brute_force():
+    import math
+    import random
+
+    rng = random.Random(9)
+
+    def grow(depth):
+        kids = [rng.choice(["some words here", "x", " "]) if rng.random() < 0.4 or depth == 0 else grow(depth - 1) for _ in range(rng.randint(1, 4))]
+        tag = rng.choice(["div", "section", "a", "b", "ul"])
+        return f"<{tag}>{''.join(kids)}</{tag}>"
+
+    def strings(x):
+        return [x] if isinstance(x, str) else [s for k in x.kids for s in strings(k)]
+
+    def inside(x):
+        return [] if isinstance(x, str) else [x, *(y for k in x.kids for y in inside(k))]
+
+    def chars(x):
+        return sum(len(" ".join(s.split())) for s in strings(x))
+
+    def link_chars(x):
+        if isinstance(x, str):
+            return 0
+        return chars(x) if x.tag == "a" else sum(map(link_chars, x.kids))
+
+    for _ in range(60):
+        tree = html_text.Tree()
+        tree.feed("<body>" + "".join(grow(4) for _ in range(3)))
+        body = tree.root.kids[0]
+        html_text.measure(body)
+        share = link_chars(body) / max(chars(body), 1)
+        for x in inside(body):
+            c, n, link, tied = chars(x), len(inside(x)) - 1, link_chars(x), sum(y.tag == "a" for y in inside(x)[1:])
+            base = math.log(max(c, 1) / max(c - link, 1) * link + share * c + math.e)
+            want = c / max(n, 1) * math.log(max(max(c, 1) / max(link, 1) * max(n, 1) / max(tied, 1), 1.0) + 1e-9) / base if c else 0.0
+            assert abs(x.density - want) < 1e-9 * max(want, 1)
+        for x in inside(body):
+            own = sum(len(" ".join(k.split())) for k in x.kids if isinstance(k, str))
+            assert abs(x.sum - sum(k.density for k in x.kids if not isinstance(k, str)) - own / max(x.chars, 1) * x.density) < 1e-9
+        best = max(html_text.order(body), key=lambda x: x.sum)
+        assert best.sum == max(x.sum for x in inside(body))
