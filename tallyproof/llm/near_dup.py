@@ -181,16 +181,17 @@ def roots(parents: DataFrame) -> DataFrame:
 def spread(big: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join of big with small, whose weight column says how many rows of big each key has.
 
-    Keys with more than one in HOT of these rows are fewer than HOT, so they are broadcast; their
-    rows in big get one of SALTS salts, their row in small is dealt to each.
+    Keys with more than one in HOT of these rows are fewer than HOT, so their hashes are a list in
+    the plan; their rows in big get one of SALTS salts, their row in small is dealt to each.
     """
     rows = small.agg(F.sum(weight)).first()[0] or 0
-    hot = small.where(F.col(weight) > rows / HOT + SALTS)
-    salts = F.broadcast(hot.select(key, F.lit(True).alias("hot")))
-    dealt = big.join(salts, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*(c for c in big.columns if c != key)), F.lit(SALTS))).otherwise(F.lit(0)).cast("bigint"))
-    copies = F.when(F.col(weight) > rows / HOT + SALTS, F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
-    sides = small.withColumn("salt", F.explode(copies))
-    return dealt.drop("hot").join(sides, [key, "salt"]).drop("salt")
+    hot = [r[0] for r in small.where(F.col(weight) > rows / HOT + SALTS).select(F.xxhash64(key)).collect()]
+    if not hot:
+        return big.join(small, key)
+    is_hot, none = F.xxhash64(key).isin(hot), F.lit(0).cast("bigint")
+    salt = F.pmod(F.xxhash64(*(c for c in big.columns if c != key)), F.lit(SALTS).cast("bigint"))
+    sides = small.withColumn("salt", F.explode(F.when(is_hot, F.sequence(none, F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(none))))
+    return big.withColumn("salt", F.when(is_hot, salt).otherwise(none)).join(sides, [key, "salt"]).drop("salt")
 
 
 def link(pairs: DataFrame, sets: DataFrame, w: int, percent: int) -> DataFrame:
