@@ -186,9 +186,8 @@ def spread(big: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame
     """
     rows = small.agg(F.sum(weight)).first()[0] or 0
     hot = [r[0] for r in small.where(F.col(weight) > rows / HOT + SALTS).select(F.xxhash64(key)).collect()]
-    if not hot:
-        return big.join(small, key)
-    is_hot, none = F.xxhash64(key).isin(hot), F.lit(0).cast("bigint")
+    # One plan whatever the data: without hot keys the list holds a value that is as good as any.
+    is_hot, none = F.xxhash64(key).isin(hot or [0]), F.lit(0).cast("bigint")
     salt = F.pmod(F.xxhash64(*(c for c in big.columns if c != key)), F.lit(SALTS).cast("bigint"))
     sides = small.withColumn("salt", F.explode(F.when(is_hot, F.sequence(none, F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(none))))
     return big.withColumn("salt", F.when(is_hot, salt).otherwise(none)).join(sides, [key, "salt"]).drop("salt")
