@@ -106,8 +106,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, k: int, l
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), domain.cast("int").alias("domain"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("domain").between(0, k - 1))
     sample = rows.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    # The sample has at most limit rows, so it is broadcast.
-    texts = docs.join(F.broadcast(sample), "doc_id").select("domain", "text")
+    # The sample has at most limit rows, so it is broadcast; of a doc_id with several texts the one of least hash is taken.
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("domain", "text"), F.xxhash64("text")).alias("s"))
+    texts = cut(texts.select("s.domain", "s.text"))
 
     def count(batches):
         import pyarrow as pa

@@ -240,11 +240,70 @@ def test_toxic_word_keeps_counts_of_its_own(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, toxic int")
     rows = toxicity.toxicity(docs, labels).collect()
     assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in rows)
-    word = toxicity.keys_of(f"vile {other} never")
-    n = [sum(t.split().count(x) for t in texts) for x in ("vile", other)]
-    counted = [toxicity.WORD.findall(t.lower()) for t in texts]
-    got, occurrences, types = toxicity.corpus_counts(docs, word)
-    assert (got.tolist(), occurrences, types) == ([*n, 0], sum(map(len, counted)), len(set().union(*counted)))
+    counted = Counter(x for t in texts for x in toxicity.keys_of(t).tolist())
+    assert {r.word: r.n for r in toxicity.corpus_counts(docs).collect()} == counted
+
+
+def test_kneser_ney_levels_sum_to_one_and_scores_are_the_brute_force(spark, labelled, monkeypatch):
+    """The model that the query uses, against its formulas written out with dictionaries."""
+    import math
+
+    monkeypatch.setattr(toxicity, "D1", 1.0)
+    monkeypatch.setattr(toxicity, "D2", 0.5)
+    monkeypatch.setattr(toxicity, "Z", 0.2)
+    from tallyproof.llm.common import docs_of
+
+    docs, labels = docs_of(labelled[0], binary=False), labelled[1]
+    rows = toxicity.train_rows(docs, toxicity.labelled(labels, toxicity.F.lit(True))).collect()
+    texts = {r.label: [] for r in rows}
+    for r in rows:
+        if not r.held:
+            texts[r.label].append(np.frombuffer(r.words, np.int64).tolist())
+    assert sum(r.held for r in rows) > 50
+    s = Counter(x for (t,) in docs.select("text").collect() for x in toxicity.keys_of(t).tolist())
+    n_all = sum(s.values()) + len(s)
+    c = [Counter(g for t in texts[k] for g in set(zip([0, *t[:-1]], t, strict=True))) for k in (0, 1)]
+    cont = [Counter(w for _, w in c[k]) for k in (0, 1)]
+    cut_off = lambda x, e, d: max(x - e - 0.2 * math.sqrt(e) - d, 0)
+    kept = [{w: cut_off(x, (s[w] + 1) / n_all * len(c[k]), 1.0) / len(c[k]) for w, x in cont[k].items()} for k in (0, 1)]
+    size = [sum(x.values()) for x in c]
+    own, left = [{}, {}], [Counter(), Counter()]
+    for k in (0, 1):
+        for (v, _), n in c[k].items():
+            left[k][v] += n
+        for (v, w), n in c[k].items():
+            got = cut_off(n, (c[0][v, w] + c[1][v, w]) * size[k] / sum(size), 0.5) if kept[k].get(w) else 0
+            own[k][v, w] = got / left[k][v]
+    mass = [Counter(), Counter()]
+    for k in (0, 1):
+        for (v, _), x in own[k].items():
+            mass[k][v] += x
+
+    def p(k, v, w):
+        return own[k].get((v, w), 0) + (1 - mass[k][v]) * (kept[k].get(w, 0) + (1 - sum(kept[k].values())) * (s[w] + 1) / n_all)
+
+    model = toxicity.train(docs, labels)
+    assert len(model.pairs) > 5 and len(model.words) > 3
+    for k, side in ((0, model.ordinary), (1, model.toxic)):
+        assert abs(side.kept.sum() + side.free - 1) < 1e-12 and (side.left > 0).all()
+        for v in [0, 12345, *model.left.tolist()[:20]]:
+            assert abs(sum(p(k, v, w) for w in s) - 1) < 1e-9
+    neutral = math.log((1 - sum(kept[1].values())) / (1 - sum(kept[0].values())))
+    for r in rows[:150]:
+        t = np.frombuffer(r.words, np.int64)
+        want = sum(math.log(p(1, v, w) / p(0, v, w)) - neutral for v, w in zip([0, *t[:-1].tolist()], t.tolist(), strict=True))
+        assert abs(model.evidence(t)[0] - want) < 1e-9 * max(abs(want), 1)
+
+
+def test_toxicity_of_long_texts_and_repeated_doc_ids(spark, labelled):
+    docs, labels = labelled
+    long = "w5 the w7 w9 " * 50_000
+    more = spark.createDataFrame([(5000, long), (5000, "w1 w2 w3"), (None, long)], "doc_id bigint, text string")
+    rows = toxicity.toxicity(docs.select("doc_id", "text").union(more), labels.select("doc_id", "toxic").union(spark.createDataFrame([(5000, 1)], "doc_id bigint, toxic int"))).collect()
+    assert len(rows) == docs.count() + 3
+    of_long = [r.score for r in rows if r.doc_id is None and r.n_words > 9] + [r.score for r in rows if r.doc_id == 5000 and r.n_words > 9]
+    assert len(of_long) == 2 and of_long[0] == of_long[1] < 0.5
+    assert sum((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in rows if r.doc_id is not None and r.doc_id < 600) > 580
 
 
 def test_mixing_meets_targets(spark, labelled):
