@@ -46,17 +46,50 @@ def test_long_texts_are_cut_into_segments(monkeypatch):
     assert covered == list(range(3000 - 99))
 
 
-def test_longest_previous_factors():
+def factor(s, places, i, size):
+    """The longest string at a place, up to size, that an earlier place has."""
+    return max((next((k for k in range(size) if s[i + k] != s[j + k]), size) for j in places if j < i), default=0)
+
+
+@pytest.mark.parametrize("size", [8, 12, 37, 100])
+def test_longest_previous_factors(size):
     rng = np.random.default_rng(5)
-    for n, letters in ((0, 2), (1, 1), (40, 2), (60, 3), (30, 1)):
-        s = bytes(rng.integers(97, 97 + letters, n).astype(np.uint8)) if n else b""
-        want = []
-        for i in range(len(s)):
-            k = 0
-            while i + k < len(s) and any(s[j : j + k + 1] == s[i : i + k + 1] for j in range(i)):
-                k += 1
-            want.append(k)
-        assert suffix_dedup.longest_previous_factors(s) == want
+    for n, letters in ((0, 2), (1, 1), (40, 2), (90, 3), (30, 1), (60, 26)):
+        s = bytes(rng.integers(97, 97 + letters, n + size - 1).astype(np.uint8))
+        places = np.arange(n) if n % 3 else np.arange(0, n, 2)
+        if not len(places):
+            continue
+        got = suffix_dedup.previous_factors(np.frombuffer(s, np.uint8), places, size)
+        assert got.tolist() == [factor(s, places, i, size) for i in places]
+
+
+def test_smaller_before_is_the_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 8, 33, 100):
+        for place in (rng.permutation(n), np.arange(n), np.arange(n)[::-1], np.append(np.arange(1, n), 0)):
+            common = rng.integers(0, 9, n)
+            want = []
+            for i in range(n):
+                j = next((j for j in range(i - 1, -1, -1) if place[j] < place[i]), None)
+                want.append(0 if j is None else int(common[j + 1 : i + 1].min()))
+            assert suffix_dedup.smaller_before(place, common).tolist() == want
+
+
+def test_documents_that_share_a_doc_id_or_have_none(spark):
+    """Each text loses what an earlier one has; no text is cut at another's places."""
+    import random
+
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 80, 10**6) for _ in range(3))
+    rows = [(1, a), (2, b), (2, c + " " + a), (None, c), (None, "x" + b), (None, c), (2, b)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tag = {r.text: r.t for r in suffix_dedup.numbered(suffix_dedup.docs_of(df)).selectExpr("cast(text as string) text", "t").collect()}
+    # The same texts numbered in the order that the docstring gives.
+    texts = sorted({(2**63 if i is None else i, tag[t], t) for i, t in rows})
+    want = removed([(k, t) for k, (_, _, t) in enumerate(texts)])
+    of = {(i, t): want[k] for k, (i, _, t) in enumerate(texts)}
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == Counter((i, *of[2**63 if i is None else i, t]) for i, t in rows)
 
 
 def groups(docs, w, percent=80):
