@@ -7,20 +7,22 @@ rates solve
 
     minimise  (A r - T)' W (A r - T),  r >= 0,    A r = sum of r t p over all documents
 
-by projected gradient steps from r = 1. T are the targets. Distances between rates are measured with
-the weight t, so that documents of equal posteriors get equal rates whatever their lengths: the
-gradient of a rate, t p' W (A r - T), is divided by t. W is the inverse of the sum of t p p' over
-the documents whose rate isn't 0, taken anew at each step, which makes a step of length 1 exact
-where no rate meets 0. A step is one sum of K + K^2 numbers over all documents; the driver
-holds these and nothing else. A rate isn't stored between steps: the K numbers of each step, in
-order, give it from p in the next scan, in Spark's own functions.
+by projected gradient steps from r = 1, accelerated (each step starts beyond the last rate by a part
+of the last change) and begun anew where the residual rises. T are the targets. Distances between
+rates are measured with the weight t, so that documents of equal posteriors get equal rates whatever
+their lengths: the gradient of a rate, t p' W (A r - T), is divided by t. W is the inverse of the sum
+of t p p' over all documents, which makes a step of length 1 exact where no rate meets 0. A step is
+one sum of 2 K numbers over all documents; the driver holds these and nothing else. A rate isn't
+stored between steps: the K + 1 numbers of each step, in order, give it from p in the next scan, in
+Spark's own functions.
 
 A document is taken floor(rate + u) times, u a hash of its doc_id in [0, 1).
 
 Defined results: null and empty texts have 0 tokens and the rate 1, since they weigh nothing;
-repeated rows get equal posteriors and rates; domains without a labelled row have posterior 0;
+repeated rows get equal posteriors and rates; domains without a labelled row have posterior 0 and
+their weight goes to the others in proportion;
 without any labelled row posteriors are equal for all; targets out of reach are met as closely as
-least squares can; an empty table gives an empty result; other columns are never read.
+least squares can in STEPS steps; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ from tallyproof.llm.common import cut, docs_of, map_rows, ship_code
 U = np.uint64
 LABELLED = 20_000
 SLOTS = 1 << 17
-#: Steps at most; a relative residual below DONE ends them sooner.
-STEPS, DONE = 40, 1e-9
+#: Steps at most; a relative residual below DONE ends them sooner, or a step that changes it by less than a part of STILL.
+STEPS, DONE, STILL = 60, 1e-9, 1e-6
 SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -169,32 +171,51 @@ def dot(p: Column, y: Column, k: int) -> Column:
     return total
 
 
-def rate(steps: list[np.ndarray], k: int, p: str = "p") -> Column:
-    """The rate after these steps, from 1."""
+def states(steps: list[tuple[np.ndarray, float]], k: int, p: str = "p") -> Column:
+    """(r, x) after these steps: the rate, and where the next step starts."""
+    one = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("x"))
     if not steps:
-        return F.lit(1.0)
-    made = F.array(*(F.array(*map(F.lit, map(float, y))) for y in steps))
-    return F.aggregate(made, F.lit(1.0), lambda r, y: F.greatest(F.lit(0.0), r - dot(F.col(p), y, k)))
+        return one
+    number = lambda x: f"{float(x)!r}D"
+    made = F.expr("array(" + ", ".join(f"named_struct('y', array({', '.join(map(number, y))}), 'b', {number(b)})" for y, b in steps) + ")")
+
+    def step(s, m):
+        new = F.greatest(F.lit(0.0), s["x"] - dot(F.col(p), m["y"], k))
+        return F.struct(new.alias("r"), (new + m["b"] * (new - s["r"])).alias("x"))
+
+    return F.aggregate(made, one, step)
+
+
+def rate(steps: list[tuple[np.ndarray, float]], k: int, p: str = "p") -> Column:
+    """The rate after these steps, from 1."""
+    return states(steps, k, p)["r"]
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list[np.ndarray]:
-    """The steps whose rates take expected token totals to the targets."""
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list[tuple[np.ndarray, float]]:
+    """The steps (change by posterior, part of it that the next one goes beyond) whose rates take expected token totals to the targets."""
     k, want = len(targets), np.array(targets, float)
-    made: list[np.ndarray] = []
+    at = lambda i: F.get("p", F.lit(i))
+    gram = rows.agg(*(F.sum(F.col("tokens") * at(i) * at(j)).alias(f"c{i}_{j}") for i in range(k) for j in range(k))).first()
+    weight = np.linalg.pinv(np.array([x or 0.0 for x in gram]).reshape(k, k), rcond=1e-12, hermitian=True)
+    made: list[tuple[np.ndarray, float]] = []
+    since, last = 0, np.inf
     for _ in range(steps):
-        r = rows.select("tokens", "p", rate(made, k).alias("r"))
-        at = lambda i: F.get("p", F.lit(i))
-        live = F.when(F.col("r") > 0, F.col("tokens").cast("double")).otherwise(0.0)
-        sums = [F.sum(F.col("r") * F.col("tokens") * at(i)) for i in range(k)]
-        gram = [F.sum(live * at(i) * at(j)) for i in range(k) for j in range(k)]
-        got = np.array([x or 0.0 for x in r.agg(*(c.alias(f"c{n}") for n, c in enumerate(sums + gram))).first()])
-        off = got[:k] - want
-        if np.abs(off).max() <= DONE * max(np.abs(want).max(), 1.0):
+        r = rows.select("tokens", "p", states(made, k).alias("s"))
+        got = r.agg(*(F.sum(F.col(f"s.{c}") * F.col("tokens") * at(i)).alias(f"{c}{i}") for c in "rx" for i in range(k))).first()
+        got = np.array([x or 0.0 for x in got])
+        off, ahead = got[:k] - want, got[k:] - want
+        residual = float(off @ weight @ off)
+        if np.abs(off).max() <= DONE * max(np.abs(want).max(), 1.0) or abs(last - residual) <= STILL * residual:
             break
-        step = np.linalg.pinv(got[k:].reshape(k, k), rcond=1e-12, hermitian=True) @ off
+        if residual > last:
+            # Begin anew from the rates themselves.
+            made[-1], since, ahead = (made[-1][0], 0.0), 0, off
+        last = residual
+        step = weight @ ahead
         if not np.abs(step).max() > 0:
             break
-        made.append(step)
+        made.append((step, since / (since + 3)))
+        since += 1
     return made
 
 
@@ -213,9 +234,11 @@ def mix(
     the tokens that it is expected to have now.
     """
     docs, k = docs_of(df, key, text), len(weights)
-    rows = cut(memberships(docs, fit_classifier(docs, labels, domain, k)))
+    model = fit_classifier(docs, labels, domain, k)
+    rows = cut(memberships(docs, model))
     now = [x or 0.0 for x in rows.agg(*(F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(k))).first()]
-    total = sum(weights)
+    weights = [w if relative or there else 0.0 for w, there in zip(weights, model.there, strict=True)]
+    total = sum(weights) or 1.0
     targets = [w * x for w, x in zip(weights, now, strict=True)] if relative else [w / total * sum(now) for w in weights]
     made = fit_rates(rows, targets)
     return rows.withColumn("rate", rate(made, k)).withColumn("copies", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1))))
