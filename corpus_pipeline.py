@@ -6,21 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyproof.llm import mixing, near_dup, quality_rules, sp_codec, suffix_dedup
-from tallyproof.llm.common import LAST_DOC, map_rows, read, shared_folder
-from tallyproof.llm.queries import domain
+from tallyproof.llm.common import read, shared_folder
+from tallyproof.llm.queries import WEIGHTS, domain
 
 #: Columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: What each domain's expected tokens are multiplied by: high, low, toxic. Above 1, a document that
-#: is surely of high quality is taken at least once.
-MULTIPLES = (1.05, 1.00, 0.50)
-
 #: Units that a worker keeps encoded: it lives on beside the other stages, so fewer than the operator's default.
 UNITS_KEPT = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. One projection and a filter, no join."""
+    """Documents that the quality rules reject go: null, empty and short texts among them. One projection and a filter, no join."""
     rows = docs.select(*COLUMNS)
     return quality_rules.kept_rows(rows)
 
@@ -33,22 +29,21 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes that an earlier text has are cut out, whole code points only; texts that lose all go."""
-    found = suffix_dedup.repeats(suffix_dedup.docs_of(docs))
-    rows = docs.select(*COLUMNS).withColumn("doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_DOC))).join(found, "doc", "left")
-
-    def start():
-        return lambda *cols: (*cols[:1], [suffix_dedup.cut_text(t, r) for t, r in zip(cols[1], cols[5], strict=True)], *cols[2:5])
+    """Strings of 100 bytes that an earlier text has are cut out, whole code points only; texts that lose all go.
 
-    schema = docs.select(*COLUMNS).schema
-    done = map_rows(rows.select(*COLUMNS, "ranges"), start, schema)
+    n_chars is that of the text that is left. Null texts and empty tables stay as they are.
+    """
+    done = suffix_dedup.texts_without_repeats(docs.select(*COLUMNS))
     left = done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return left.where("text is null or text != ''")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is taken as often as its fitted rate says."""
-    rows = mixing.mix(docs, read(spark, sf_dir, "labels"), domain(), list(MULTIPLES), relative=True)
+    """Each document is taken as often as its fitted rate says: the domains' expected tokens reach op8's weights, their total stays.
+
+    Rows of one doc_id are taken alike, as often as the one taken most; null doc_ids once; an empty table stays one.
+    """
+    rows = mixing.mix(docs, read(spark, sf_dir, "labels"), domain(), list(WEIGHTS))
     taken = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     both = docs.select(*COLUMNS).join(taken, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     times = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))))
@@ -56,7 +51,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, text and the ids of its best segmentation, whose decoding is the text again."""
+    """All columns, and the ids of the best segmentation, whose decoding is the text again; null texts have no pieces."""
     return sp_codec.encode_rows(docs.select(*COLUMNS), cache=UNITS_KEPT)
 
 
