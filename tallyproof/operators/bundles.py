@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyproof.sources.shared import written
+from tallyproof.operators import lineage
 
 # Event kinds, decisions, and how old a check of a source's status may be.
 KINDS = ("INQUIRY_RECORDED", "AUTHOR_POSITION_RECORDED", "CORRECTION_NOTICE_RECORDED", "REVISION_WITNESS_RECHECK", "CASE_WITHDRAWN", "CASE_REOPENED")
@@ -95,7 +95,7 @@ def fold_timeline(events: DataFrame) -> DataFrame:
     return g.select("bundle_id", "events", F.when(ok, "valid").otherwise("invalid").alias("chain"), "error", F.when(ok, F.col("communication")).alias("communication"), F.when(ok, F.col("author_position")).alias("author_position"), F.when(ok, state).alias("resolution"))
 
 
-def registry_violations(captures: DataFrame, most_steps: int = 64) -> DataFrame:
+def registry_violations(captures: DataFrame) -> DataFrame:
     """(record_id, violation) of captures (record_id, work_family_id, version_id, parent_record_id, source_sha256, captured_at)."""
     c = captures
     parent = c.select(F.col("record_id").alias("parent_record_id"), F.col("work_family_id").alias("pf"), F.col("captured_at").alias("pt"))
@@ -110,11 +110,4 @@ def registry_violations(captures: DataFrame, most_steps: int = 64) -> DataFrame:
         F.when(has & (F.col("pt") > F.col("captured_at")), "PARENT_CAPTURED_LATER"), F.when(F.col("reuse"), "BYTES_REUSED_ACROSS_FAMILIES"),
     ))
     flat = j.select("record_id", F.explode(found).alias("violation"))
-    # Pointers are doubled until they reach a root or have gone most_steps far; what is still going is in, or leads into, a cycle.
-    jump = written(c.where(has).select("record_id", F.col("parent_record_id").alias("up")))
-    step = 1
-    while step <= most_steps and jump.limit(1).count():
-        far = jump.select(F.col("record_id").alias("up"), F.col("up").alias("next"))
-        jump = written(jump.join(far, "up").select("record_id", F.col("next").alias("up")))
-        step *= 2
-    return flat.union(jump.where("up is not null").select("record_id", F.lit("PARENT_CYCLE")))
+    return flat.union(lineage.in_cycles(c.where(has).select(F.col("record_id").alias("id"), F.col("parent_record_id").alias("up"))).select(F.col("id").alias("record_id"), F.lit("PARENT_CYCLE")))

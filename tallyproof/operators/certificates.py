@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.functions.rationals import Invalid, need, rational
+from tallyproof.sources.shared import ship_code
 
 MAX_LEAVES = 32_768
 
@@ -125,6 +126,7 @@ def leaf_bounds(leaves: DataFrame, model: dict) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
+    ship_code(leaves.sparkSession)
     return leaves.select(F.col("leaf_ix").cast("bigint"), F.col("leaf").cast("string")).mapInArrow(run, schema)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyproof.operators.lineage import normalize_doi, normalize_pmcid
-from tallyproof.sources.shared import written
+from tallyproof.sources.shared import ship_code, written
 
 KINDS = ("doi", "pmcid", "pmid")
 
@@ -83,4 +83,5 @@ def merge(candidates: DataFrame) -> DataFrame:
             notes[b].append(f"{why}:{a}")
         return pa.table({"candidate_id": list(groups), "group_id": list(groups.values()), "unresolved": pa.array([sorted(notes[i]) for i in groups], pa.list_(pa.string()))})
 
+    ship_code(placed.sparkSession)
     return placed.groupBy("comp").applyInArrow(run, "candidate_id string, group_id string, unresolved array<string>")

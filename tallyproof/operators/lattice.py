@@ -81,5 +81,7 @@ def scope(rows: DataFrame) -> DataFrame:
     reason = F.coalesce(reason, F.when(row_off, F.lit("row_level_denominator_scope_unclear")).when(group_off, F.lit("row_group_denominator_scope_unclear")))
     reason = F.when(F.col("type_ambiguous"), F.lit("percentage_context_not_explicit")).otherwise(reason)
     reason = F.coalesce(reason, F.when(free & F.col("missing_row"), F.lit("missing_data_denominator_scope_unclear")))
-    r = r.withColumn("denominator", F.when(~(row_off | group_off), F.col("d0"))).withColumn("denominator_scope", F.col("s0")).withColumn("reason", reason)
+    # Whatever makes the scope unclear takes the denominator away.
+    known = reason.isNull() & ~(row_off | group_off)
+    r = r.withColumn("reason", reason).withColumns({"denominator": F.when(known, F.col("d0")), "denominator_scope": F.when(known, F.col("s0"))})
     return r.drop("d0", "s0", "r0")

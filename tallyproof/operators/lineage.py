@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyproof.sources.shared import written
+
 
 def event_hash(*columns: str) -> Column:
     """SHA-256 of the columns' text, joined by a bar, nulls as nothing."""
@@ -83,3 +85,41 @@ def work_key(doi: Column, pmcid: Column, pmid: Column) -> Column:
     return F.coalesce(
         F.concat(F.lit("doi:"), normalize_doi(doi)), F.concat(F.lit("pmcid:"), normalize_pmcid(pmcid)), F.concat(F.lit("pmid:"), F.trim(pmid))
     )
+
+
+def steps(pointers: DataFrame) -> DataFrame:
+    """(id, up, far): the pointers of (id, up) doubled until each has reached a root or has gone further than there are pointers; up is null at a root.
+
+    A chain of n records takes log2(n) rounds, so no length is too long; what is still going then is
+    in a cycle, or leads into one.
+    """
+    jump = written(pointers.select("id", "up"))
+    n, far = jump.count(), 1
+    while far <= n and jump.where("up is not null").limit(1).count():
+        above = jump.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        jump = written(jump.join(above, "up", "left").select("id", F.col("next").alias("up")))
+        far *= 2
+    return jump
+
+
+def in_cycles(pointers: DataFrame) -> DataFrame:
+    """The ids of (id, up) that are in a cycle or lead into one."""
+    return steps(pointers).where("up is not null").select("id")
+
+
+def cycle_lengths(pointers: DataFrame) -> DataFrame:
+    """(id, cycle_length): how many steps lead an id back to itself, null where none do.
+
+    An id is in a cycle if doubled pointers lead to it; the cycle's least id is found by doubling
+    again, and its size is that of the group.
+    """
+    all_ids = pointers.select("id")
+    inside = written(steps(pointers).where("up is not null").select(F.col("up").alias("id")).distinct())
+    now = written(pointers.join(inside, "id").select("id", "up", F.least("id", "up").alias("low")))
+    n, far = now.count(), 1
+    while far <= n:
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("low2"))
+        now = written(now.join(above, "up").select("id", F.col("next").alias("up"), F.least("low", "low2").alias("low")))
+        far *= 2
+    size = now.groupBy("low").agg(F.count("*").alias("cycle_length"))
+    return all_ids.join(now.join(size, "low").select("id", "cycle_length"), "id", "left")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyproof.functions.rationals import Invalid, need, rational
+from tallyproof.sources.shared import ship_code
 
 # The sentence's grammar and the directives of a context.
 NUMBER = r"-?(?:0|[1-9][0-9]{0,11})(?:/[1-9][0-9]{0,11})?"
@@ -78,8 +79,10 @@ def decide(sentence: str) -> dict | None:
 
 
 def lines(df: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(doc_id, line, byte_start, byte_end, text) of UTF-8 bytes; LF or CRLF ends a line."""
-    rows = df.select(F.col(key).cast("string").alias("doc_id"), F.posexplode(F.split(F.decode(content, "UTF-8"), "\n")).alias("k", "raw"))
+    """(doc_id, line, byte_start, byte_end, text) of UTF-8 bytes; LF or CRLF ends a line. Bytes that aren't UTF-8 are one line without text."""
+    said = F.col(content).cast("binary").cast("string")
+    good = F.is_valid_utf8(said)
+    rows = df.select(F.col(key).cast("string").alias("doc_id"), F.posexplode(F.when(good, F.split(said, "\n")).otherwise(F.array(F.lit(None).cast("string")))).alias("k", "raw"))
     upto = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("byte_start", F.coalesce(F.sum(F.octet_length("raw") + 1).over(upto), F.lit(0)))
     text = F.regexp_replace("raw", r"\r$", "")
@@ -87,27 +90,34 @@ def lines(df: DataFrame, key: str = "doc_id", content: str = "content") -> DataF
 
 
 def scan(rows: DataFrame) -> DataFrame:
-    """Lines that are one literal sentence, with the exact result. Only lines with its start reach Python."""
+    """Lines that begin as a literal sentence, with the exact result or a code: SENTENCE_NOT_OF_THE_GRAMMAR, LINE_LIMIT, NOT_UTF8 (the whole document) and those of decide(). Only such lines reach Python."""
     schema = "doc_id string, line int, byte_start bigint, byte_end bigint, text string, result string, maximum string, claimed string, point array<string>, code string"
     out = pa.schema([("doc_id", pa.string()), ("line", pa.int32()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("text", pa.string()), ("result", pa.string()), ("maximum", pa.string()), ("claimed", pa.string()), ("point", pa.list_(pa.string())), ("code", pa.string())])
 
+    def judged(row):
+        if row[4] is None:
+            return (*row, None, None, None, None, "NOT_UTF8")
+        if len(row[4].encode()) > MAX_LINE:
+            return (*row, None, None, None, None, "LINE_LIMIT")
+        try:
+            got = decide(row[4])
+        except Invalid as e:
+            return (*row, None, None, None, None, str(e))
+        if not got:
+            return (*row, None, None, None, None, "SENTENCE_NOT_OF_THE_GRAMMAR")
+        return (*row, got["result"], got["maximum"], got["claimed"], got["point"], None)
+
     def run(batches):
         for b in batches:
-            found = []
-            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                try:
-                    got = decide(row[4])
-                    if got:
-                        found.append((*row, got["result"], got["maximum"], got["claimed"], got["point"], None))
-                except Invalid as e:
-                    found.append((*row, None, None, None, None, str(e)))
+            found = [judged(row) for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
 
-    starts = F.lit(False)
+    starts = F.col("text").isNull()
     for s in STARTS:
         starts = starts | F.startswith("text", F.lit(s))
-    kept = rows.where(starts & (F.octet_length("text") <= MAX_LINE)).select("doc_id", F.col("line").cast("int"), "byte_start", "byte_end", "text")
+    kept = rows.where(starts).select("doc_id", F.col("line").cast("int"), "byte_start", "byte_end", "text")
+    ship_code(kept.sparkSession)
     return kept.mapInArrow(run, schema)
 
 

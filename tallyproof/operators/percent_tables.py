@@ -208,15 +208,20 @@ def verdicts(rows: DataFrame) -> DataFrame:
     })
 
 
-def relations(parsed: DataFrame) -> DataFrame:
-    """All count and percentage relations of articles.layouts(); documents beyond MAX_RESULTS give none."""
+def all_relations(parsed: DataFrame) -> DataFrame:
+    """Verdicts of every document, each row with the number of its document's relations."""
     tables, paragraphs = articles.exploded(parsed, "tables"), articles.exploded(parsed, "paragraphs")
     rows = verdicts(lattice.scope(operands(body_cells(table_flags(tables, method_notes(paragraphs))))))
-    doc = Window.partitionBy("doc_id")
+    return rows.withColumn("n_relations", F.count("*").over(Window.partitionBy("doc_id")))
+
+
+def relations(parsed: DataFrame) -> DataFrame:
+    """All count and percentage relations of articles.layouts(); document_status() refuses documents beyond MAX_RESULTS, which give none."""
+    rows = all_relations(parsed)
     evidence = F.struct(
         "byte_start", "byte_end", F.substring("text", 1, MAX_QUOTE).alias("cell_quote"), (F.length("text") > MAX_QUOTE).alias("cell_quote_truncated"), F.col("heads").alias("column_headers"), F.col("part.label").alias("label")
     )
-    rows = rows.withColumn("n_relations", F.count("*").over(doc)).where(F.col("n_relations") <= MAX_RESULTS)
+    rows = rows.where(F.col("n_relations") <= MAX_RESULTS)
     order = Window.partitionBy("doc_id").orderBy("table_index", "row", "cell", "part.label")
     return rows.select(
         "doc_id", F.row_number().over(order).alias("relation_ix"), "table_id", "table_index", (F.col("row") + 1).alias("row_index"), F.col("cell").alias("cell_index"),
@@ -226,4 +231,7 @@ def relations(parsed: DataFrame) -> DataFrame:
 
 
 def document_status(parsed: DataFrame) -> DataFrame:
-    return parsed.select("doc_id", "status", "reason")
+    """doc_id, status and reason: those of the parse, and a refusal where a document has more relations than MAX_RESULTS."""
+    many = all_relations(parsed).where(F.col("n_relations") > MAX_RESULTS).select("doc_id").distinct().withColumn("many", F.lit(True))
+    both = parsed.select("doc_id", "status", "reason").join(many, "doc_id", "left")
+    return both.select("doc_id", F.when(F.col("many"), "refused").otherwise(F.col("status")).alias("status"), F.when(F.col("many"), "too_many_relations").otherwise(F.col("reason")).alias("reason"))

@@ -19,13 +19,24 @@ from tallyproof.operators.percent_tables import facts, like
 from tallyproof.operators.table_checks import rows_of
 
 # What captions and headers have to say, and words that make a table's scope unclear.
-RATIO = r"(?iu)\bunadjusted\s+(?:odds\s+ratio|OR)\b"
+RATIO = r"(?iu)\bunadjusted\s+(?:odds\s+ratio|OR)\b.{0,120}?\bexposed\s+(?:vs\.?|versus)\s+unexposed\b"
+SPEAKS = r"(?iu)\bunadjusted\s+(?:odds\s+ratio|OR)\b"
 TIMEPOINT = r"(?iu)\b(?:baseline|follow[ -]?up|day\s+[0-9]{1,4}|[0-9]{1,4}[ -]?day|week\s+[0-9]{1,4}|month\s+[0-9]{1,4}|year\s+[0-9]{1,4})\b"
 INDEPENDENT = r"(?iu)\b(?:independent\s+groups?|unmatched\s+groups?|mutually\s+exclusive\s+groups?)\b"
 COMPLEX = r"(?iu)\b(?:weighted|adjusted|adjustment|model(?:led|ing)?|regression|cluster(?:ed|ing)?|matched|matching|paired|conditional|stratif(?:ied|ication)|crossover|imput(?:ed|ation)|standardized|propensity|bootstrap|multiple time[ -]?points?|repeated[ -]?measures?|missing data|multiple responses?|overlap(?:ping)?)\b"
 FORMULA = r"(?iu)\bSE\s*=\s*SD\s*/\s*(?:sqrt|square\s+root\s+of)\s*\(?\s*n\s*\)?"
 OBSERVATIONS = r"(?iu)\b(?:independent\s+observations?|independent\s+samples?|independently\s+sampled\s+observations?)\b"
-UNCLEAR = r"(?iu)\b(?:weighted|weighting|adjusted|adjustment|covariate|multivaria(?:ble|te)|cluster(?:ed|ing|s)?|imput(?:ed|ation)|matched|paired|conditional|stratif(?:ied|ication)|crossover|repeated[ -]?measures?|longitudinal|multiple time[ -]?points?|transform(?:ed|ation)?|log[ -]?scale|standardized score|z[ -]?score|not|never|without|unless|except|correlat(?:ed|ions?)|subgroups?|missing\s+(?:data|values?))\b"
+NEGATED = (
+    r"(?iu)\b(?:not|never|without|unless|except|instead\s+of|rather\s+than)\b|"
+    r"\b(?:non[ -]?independent|dependent\s+(?:samples?|observations?)|correlated\s+(?:samples?|observations?)|correlations?|"
+    r"panel|subgroups?|complete[ -]?cases?|available[ -]?cases?|missing\s+(?:data|values?|observations?)|unit\s+conversion|subsamples?)\b"
+)
+UNCLEAR = (
+    r"(?iu)\b(?:weighted|weighting|adjusted|adjustment|covariate|multivariable|multivariate|cluster(?:ed|ing|s)?|cluster\s+robust|imput(?:ed|ation)|"
+    r"matched|paired|conditional|stratif(?:ied|ication)|crossover|repeated[ -]?measures?|repeated observations?|longitudinal|"
+    r"multiple time[ -]?points?|across visits?|between visits?|baseline and follow[ -]?up|follow[ -]?up and baseline|"
+    r"transform(?:ed|ation)?|log[ -]?scale|logarithm(?:ic)?|square[ -]?root|standardized score|z[ -]?score)\b"
+)
 INTEGER, DECIMAL = r"^(?:0|[1-9][0-9]{0,9})$", r"^(?:0|[1-9][0-9]{0,9})(?:\.[0-9]{1,8})?$"
 SIGNED = r"^-?[0-9]{1,10}(?:\.[0-9]{1,8})?$"
 ROLES = {"n": "n", "sd": "sd", "standard deviation": "sd", "se": "se", "standard error": "se", "sem": "sem", "standard error of the mean": "sem"}
@@ -44,11 +55,11 @@ def around(cells: str = "cells") -> Column:
 
 def odds_ratio_tables(tables: DataFrame) -> DataFrame:
     """One row a table that speaks of an unadjusted odds ratio: cells, printed and recomputed value, status or reason."""
-    t = tables.withColumn("context", around()).where(like(F.col("context"), RATIO) | F.contains(F.lower("context"), F.lit("2x2")))
+    t = tables.withColumn("context", around()).where(like(F.col("context"), SPEAKS) | F.contains(F.lower("context"), F.lit("2x2")))
     keep = ("table_id", "caption", "foots", "header_bad", "body_bad", "context")
     rows = rows_of(t, *keep)
     role = lambda h: (
-        F.when(like(h, RATIO), F.when(like(h, r"(?iu)\bexposed\s+(?:vs\.?|versus)\s+unexposed\b"), "statistic"))
+        F.when(like(h, SPEAKS), F.when(like(h, RATIO), "statistic"))
         .when(~like(h, r"(?iu)\bevents?\b"), None)
         .otherwise(F.concat(F.when(like(h, r"(?iu)\b(?:unexposed|control|reference)\b"), "unexposed").otherwise("exposed"), F.when(like(h, r"(?iu)\b(?:non[ -]?events?|no events?|without events?)\b"), "_other").otherwise("_event")))
     )
@@ -126,7 +137,7 @@ def se_tables(tables: DataFrame) -> DataFrame:
     sizes = [F.size(f"{r}s") for r in ("n", "sd", "se")]
     reason = ladder(
         (F.col("header_bad") | F.col("body_bad"), "TABLE_STRUCTURE_NOT_RELIABLE"),
-        (like(F.col("context"), UNCLEAR), "TABLE_HAS_SCOPE_OR_TRANSFORM_AMBIGUITY"),
+        (like(F.col("context"), UNCLEAR) | like(F.col("context"), NEGATED), "TABLE_HAS_SCOPE_OR_TRANSFORM_AMBIGUITY"),
         (F.size("foots") > 0, "FOOTNOTE_SEMANTICS_NOT_RESOLVED"),
         (~like(F.col("caption"), FORMULA) | ~like(F.col("caption"), OBSERVATIONS), "EXPLICIT_INDEPENDENT_SE_FORMULA_REQUIRED"),
         (F.size("sems") > 0, "SEM_HEADER_NOT_ACCEPTED_AS_SE"),

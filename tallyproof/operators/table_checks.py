@@ -9,9 +9,12 @@ from tallyproof.functions import exact
 from tallyproof.operators.percent_tables import ADJUSTED, INT, PAIR, ROUNDING, facts, like, number
 
 # What a caption has to say, and words that make its scope unclear.
-PARTITION = r"(?iu)\b(?:mutually exclusive and exhaustive|exhaustive and mutually exclusive|disjoint and exhaustive|exhaustive and disjoint)\b"
-UNSAFE = r"(?iu)\b(?:weighted|adjusted|estimated|imputed|approximate(?:ly)?|percent(?:age)?s?|multiple responses?|subset|excluding|missing)\b"
-PEOPLE = r"(?iu)^(?:participants|patients|subjects|n|number of (?:participants|patients|subjects))(?:,? n)?$"
+PARTITION = r"(?iu)\b(?:mutually exclusive and exhaustive categories of participants)\b"
+UNSAFE = (
+    r"(?iu)\b(?:not mutually|not exhaustive|overlap(?:ping)?|multiple responses?|weighted|adjusted|imputed|estimated|subsample|subset|available cases?|"
+    r"missing(?:ness)?|unknown|unreported|exclud(?:e|ed|ing)|non-exhaustive|nonexclusive|non-exclusive)\b"
+)
+PEOPLE = ("participants", "number of participants", "participants (n)")
 SECTION_N = rf"(?U)^\s*(?:\(?\s*[nN]\s*=\s*)?({INT})\s*\)?\s*$"
 SECTION_LABEL = r"(?iu)^\s*(?:n(?:umber)?|no\.?)\s*(?:of)?\s*(?:participants|patients|subjects|analy[sz]ed|included)?.*\b(?:participants|patients|subjects|analy[sz]ed|population)\b.*$"
 ROW_CUE = r"(?iu)\bn\s*\(\s*%\s*\)|\bn\s*,\s*%"
@@ -25,31 +28,32 @@ def rows_of(tables: DataFrame, *keep: str) -> DataFrame:
 
 
 def count_totals(tables: DataFrame) -> DataFrame:
-    """Categories against the stated total of a two-column table whose caption says that they are all and apart."""
+    """Categories of participants against the stated total of a two-column table whose caption says that they are all and apart."""
     heads = F.transform(F.array_sort(F.filter("cells", lambda c: c["section"] == "head"), lambda a, b: a["col"] - b["col"]), lambda c: c["text"])
     t = tables.withColumn("heads", heads)
-    applies = (F.size("heads") == 2) & (F.lower(F.get("heads", F.lit(0))) == "category") & like(F.get("heads", F.lit(1)), PEOPLE)
+    applies = (F.lower(F.get("heads", F.lit(0))) == "category") & F.lower(F.get("heads", F.lit(1))).isin(*PEOPLE)
     t = t.withColumn("applies", F.coalesce(applies, F.lit(False)))
-    r = rows_of(t, "table_id", "caption", "foots", "header_bad", "body_bad", "applies").withColumns({
+    r = rows_of(t, "table_id", "label", "caption", "foots", "header_bad", "body_bad", "heads", "applies").withColumnRenamed("label", "table_label").withColumns({
         "label": F.lower(F.trim(F.get("cells", F.lit(0))["text"])), "n": number(F.regexp_extract(F.get("cells", F.lit(1))["text"], rf"^\s*({INT})\s*$", 1)),
-        "plain": (F.size("cells") == 2) & F.forall("cells", lambda c: (c["colspan"] == 1) & (c["rowspan"] == 1)),
+        "two": F.size("cells") == 2, "plain": F.forall("cells", lambda c: (c["colspan"] == 1) & (c["rowspan"] == 1)),
     })
     last = Window.partitionBy("doc_id", "table_index")
     r = r.withColumn("is_last", F.col("row") == F.max("row").over(last))
-    g = r.groupBy("doc_id", "table_index", "table_id", "caption", "foots", "header_bad", "body_bad", "applies").agg(
-        F.count("*").alias("rows"), F.bool_and("plain").alias("plain"), F.bool_and(F.col("n").isNotNull() & (F.col("label") != "") & ~like(F.col("label"), UNSAFE)).alias("sound"),
+    g = r.groupBy("doc_id", "table_index", "table_id", "table_label", "caption", "foots", "header_bad", "body_bad", "heads", "applies").agg(
+        F.count("*").alias("rows"), F.bool_and("two").alias("two"), F.bool_and("plain").alias("plain"), F.bool_and(F.col("n").isNotNull() & (F.col("label") != "") & ~like(F.col("label"), UNSAFE)).alias("sound"),
         F.countDistinct("label").alias("labels"), F.sum(F.when(~F.col("is_last"), F.col("n"))).alias("computed"), F.max(F.when(F.col("is_last"), F.col("n"))).alias("stated"),
-        F.max(F.when(F.col("is_last"), F.col("label"))).alias("last_label"),
+        F.max(F.when(F.col("is_last"), F.col("label"))).alias("last_label"), F.count_if(F.col("label") == "total").alias("total_rows"),
     )
     caption = F.coalesce("caption", F.lit(""))
     reason = (
         F.when(~like(caption, PARTITION), "EXHAUSTIVE_DISJOINT_SOURCE_DECLARATION_MISSING")
-        .when(like(caption, UNSAFE), "SOURCE_SCOPE_CONFLICT")
-        .when((F.size("foots") > 0) | F.col("header_bad") | F.col("body_bad"), "UNRESOLVED_TABLE_STRUCTURE_OR_FOOTNOTES")
+        .when(like(F.concat_ws(" ", caption, "table_label"), UNSAFE), "SOURCE_SCOPE_CONFLICT")
+        .when((F.size("heads") != 2) | (F.size("foots") > 0) | F.col("header_bad") | F.col("body_bad"), "UNRESOLVED_TABLE_STRUCTURE_OR_FOOTNOTES")
         .when(~F.col("rows").between(3, 64), "TOTAL_ROW_OR_GROUP_STRUCTURE_AMBIGUOUS")
-        .when(~F.col("plain"), "COUNT_COLUMN_LAYOUT_AMBIGUOUS")
+        .when(~F.col("two"), "COUNT_COLUMN_LAYOUT_AMBIGUOUS")
+        .when(~F.col("plain"), "COUNT_CELL_SCOPE_OR_ANCHOR_UNRESOLVED")
         .when(~F.col("sound") | (F.col("labels") != F.col("rows")), "COUNT_OPERAND_OR_CATEGORY_INVALID")
-        .when(F.col("last_label") != "total", "FINAL_UNIQUE_TOTAL_ROW_REQUIRED")
+        .when((F.col("last_label") != "total") | (F.col("total_rows") != 1), "FINAL_UNIQUE_TOTAL_ROW_REQUIRED")
         .when(F.col("computed") > exact.MAX_COUNT, "COUNT_SUM_OUT_OF_DOMAIN")
     )
     g = g.withColumn("reason", F.when(F.col("applies"), reason))

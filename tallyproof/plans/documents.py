@@ -11,6 +11,7 @@ from tallyproof.functions import exact
 from tallyproof.operators import bundles, checkers, identity, literals, percent_tables, table_checks
 from tallyproof.plans.arithmetic import table
 from tallyproof.sources import articles
+from tallyproof.sources.shared import ship_code
 
 Q, SQL = {}, {}
 
@@ -160,7 +161,7 @@ def registry_violations(spark, sf_dir):
         k.cast("string").alias("record_id"), (F.col("o_custkey") % 50).alias("work_family_id"), k.alias("version_id"),
         F.when((k % 3 == 0) & (k % 30 != 0), (k - 3).cast("string")).alias("parent_record_id"), F.sha2(k.cast("string"), 256).alias("source_sha256"), k.alias("captured_at"),
     )
-    return bundles.registry_violations(captures, most_steps=64)
+    return bundles.registry_violations(captures)
 
 
 @query(
@@ -209,6 +210,7 @@ def family_tests(rows):
             harm = [outward(statistics.harm_upper(int(x), 0, int(n), Fraction(1, 40)), True) if ok else None for x, n, ok in zip(f.losses, f.n, fits, strict=True)]
             yield f.assign(p_upper=p, harm_upper=harm, status=["computed" if ok else "too_many_families" for ok in fits])
 
+    ship_code(g.sparkSession)
     return g.mapInPandas(run, "lang string, part bigint, wins bigint, losses bigint, n bigint, p_upper string, harm_upper string, status string")
 
 
@@ -260,3 +262,63 @@ def standard_error_tables(spark, sf_dir):
     docs = articles.layouts(s.select(F.col("o_custkey").cast("string").alias("doc_id"), F.encode(xml, "UTF-8").alias("content")))
     found = statistic_tables.se_tables(articles.exploded(docs, "tables"))
     return found.select("doc_id", "n", F.col("sd").cast("bigint").alias("sd"), F.col("reported_se").cast("bigint").alias("se"), "status")
+
+
+@query(
+    "witness_kinds",
+    """
+WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT CAST(k AS VARCHAR) || '-' || kind AS case_id, CASE WHEN CASE kind
+  WHEN 'scalar_radical_comparison' THEN s > 25 WHEN 'polynomial_upper_bound' THEN (s % 4) * (s % 4) + 1 > 5 WHEN 'rational_expression_upper_bound' THEN 3 * (s % 4) > 2 * ((s % 4) + 1)
+  WHEN 'finite_map_fixed_point' THEN s % 2 = 1 WHEN 'finite_graph_chromatic_lower_bound' THEN s % 3 = 0 WHEN 'finite_field_polynomial_residue' THEN s % 5 IN (1, 4) END
+  THEN 'REFUTED_FOR_FORMALIZATION' ELSE 'NO_REFUTATION_AT_WITNESS' END AS status
+FROM p, (SELECT unnest(['scalar_radical_comparison', 'polynomial_upper_bound', 'rational_expression_upper_bound', 'finite_map_fixed_point', 'finite_graph_chromatic_lower_bound', 'finite_field_polynomial_residue']) AS kind)""",
+)
+def witness_kinds(spark, sf_dir):
+    """Six kinds of claims for each part's size s: sqrt(s) <= 5; x^2 + 1 <= 5 and 3 x / (x + 1) <= 2 at s mod 4; a fixed point of a shift by s; 3 colours of a square with s mod 3 = 0; no root of x^2 = s modulo 5."""
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size")
+    box = '{"x":{"lower":"0","lower_closed":true,"upper":"3","upper_closed":true}}'
+    x, const = '{"op":"var","name":"x"}', '{"op":"const","value":"%d"}'
+    point = F.format_string('"point":{"x":"%d"}', s % 4)
+    ring = F.when(s % 3 == 0, '"a":"p","b":"q","c":"p","d":"q"').otherwise('"a":"p","b":"q","c":"r","d":"q"')
+    cases = {
+        "scalar_radical_comparison": (F.format_string('"left":{"constant":"0","terms":[{"coefficient":"1","radicand":"%d"}]},"upper_bound":{"constant":"5","terms":[]}', s), F.lit("")),
+        "polynomial_upper_bound": (F.lit(f'"domain":{box},"terms":[{{"coefficient":"1","powers":{{"x":2}}}},{{"coefficient":"1","powers":{{}}}}],"upper_bound":"5"'), point),
+        "rational_expression_upper_bound": (F.lit(f'"domain":{box},"upper_bound":"2","expression":{{"op":"div","left":{{"op":"mul","args":[{const % 3},{x}]}},"right":{{"op":"add","args":[{x},{const % 1}]}}}}'), point),
+        "finite_map_fixed_point": (F.lit('"universe":["0","1"],"conclusion":"has_fixed_point"'), F.format_string('"mapping":{"0":"%d","1":"%d"}', s % 2, (s + 1) % 2)),
+        "finite_graph_chromatic_lower_bound": (F.lit('"vertices":["a","b","c","d"],"edges":[["a","b"],["b","c"],["c","d"],["a","d"]],"minimum_colors":3'), F.format_string('"coloring":{%s}', ring)),
+        "finite_field_polynomial_residue": (
+            F.lit('"prime":5,"variables":["x"],"parameters":["c"],"terms":[{"coefficient":1,"powers":{"x":2}},{"coefficient":-1,"powers":{"c":1}}],"point_count_adjustment":0,"modulus":3,"allowed_residues":[0,1]'),
+            F.format_string('"parameters":{"c":%d}', s % 5),
+        ),
+    }
+    parts = [
+        F.struct(
+            F.concat(k, F.lit("-" + kind)).alias("case_id"), F.concat(F.lit(f'{{"kind":"{kind}",'), spec, F.lit("}")).alias("formalization"),
+            F.concat(F.lit(f'{{"kind":"{kind}"'), F.when(witness != "", F.concat(F.lit(","), witness)).otherwise(""), F.lit("}")).alias("witness"),
+        )
+        for kind, (spec, witness) in cases.items()
+    ]
+    rows = table(spark, sf_dir, "part").select(F.explode(F.array(*parts)).alias("c")).select("c.*")
+    return checkers.check_cases(rows).select("case_id", "status")
+
+
+@query(
+    "refused_documents",
+    """
+WITH n AS (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 998 WHEN 1 THEN 1001 ELSE 3 END AS k FROM nation)
+SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, CASE WHEN n_nationkey % 5 IN (1, 2) THEN 'refused' ELSE 'parsed' END AS status,
+  CASE n_nationkey % 5 WHEN 1 THEN 'too_many_relations' WHEN 2 THEN 'declarations_not_accepted' END AS reason, CASE WHEN n_nationkey % 5 IN (1, 2) THEN 0 ELSE k END AS relations FROM n""",
+)
+def refused_documents(spark, sf_dir):
+    """Documents about at and above the limit of relations, and some with a declaration: all have a row, refused ones a reason."""
+    k = F.col("n_nationkey")
+    size = F.when(k % 5 == 0, 998).when(k % 5 == 1, 1001).otherwise(3)
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.lit("<tr><td>r</td><td>"), i.cast("string"), F.lit(" (50.0)</td></tr>"))), "")
+    xml = F.concat(
+        F.when(k % 5 == 2, "<!DOCTYPE article>").otherwise(""), F.lit("<article><body><table-wrap id='T1'><caption><p>Customers, N=2000</p></caption><table><thead><tr><th>Segment</th><th>n (%)</th></tr></thead><tbody>"),
+        rows, F.lit("</tbody></table></table-wrap></body></article>"),
+    )
+    docs = articles.layouts(table(spark, sf_dir, "nation").select(k.cast("string").alias("doc_id"), F.encode(xml, "UTF-8").alias("content")))
+    counts = percent_tables.relations(docs).groupBy("doc_id").agg(F.count("*").cast("int").alias("relations"))
+    return percent_tables.document_status(docs).join(counts, "doc_id", "left").select("doc_id", "status", "reason", F.coalesce("relations", F.lit(0)).alias("relations"))

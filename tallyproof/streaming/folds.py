@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from tallyproof.sources.shared import ship_code
 
 OUT = "stream string, seq bigint, hash string, state string, error string"
 STATE = "next bigint, last string, state string, error string"
@@ -43,6 +44,7 @@ def fold_stream(events: DataFrame, setting: tuple[str, ...], clearing: tuple[str
         held.update(state)
         yield pd.DataFrame([(key[0], state[0] - 1, state[1], state[2], state[3])], columns=[c.split()[0] for c in OUT.split(", ")])
 
+    ship_code(events.sparkSession)
     return events.groupBy("stream").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 

@@ -18,7 +18,7 @@ def parsed(spark, **docs):
 
 
 def test_count_totals(spark):
-    head, said = tr("Category", "Participants", tag="th"), "Mutually exclusive and exhaustive categories"
+    head, said = tr("Category", "Participants", tag="th"), "Mutually exclusive and exhaustive categories of participants"
     body = lambda total: tr("A", "40") + tr("B", "60") + tr("Total", total)
     got = table_checks.count_totals(articles.exploded(parsed(
         spark, ok=article(table(body("100"), head, said)), off=article(table(body("99"), head, said)), silent=article(table(body("99"), head, "Counts")),
@@ -52,8 +52,8 @@ def test_trace_and_layout_text(spark):
 
 def test_lattice_overrides(spark):
     rows = [
-        ("basis", None, [50], [60], True, False, "conflicting_explicit_table_percentage_basis", 50), ("adjusted", None, [50], [], False, True, "adjustment_method_scope_not_mapped", 50),
-        ("two", None, [50, 60], [], False, False, "conflicting_column_denominators", None), ("ratio", 9, [50], [], False, True, "adjustment_method_scope_not_mapped", 9), ("none", None, [], [], False, False, "no_explicit_denominator", None),
+        ("basis", None, [50], [60], True, False, "conflicting_explicit_table_percentage_basis", None), ("adjusted", None, [50], [], False, True, "adjustment_method_scope_not_mapped", None),
+        ("two", None, [50, 60], [], False, False, "conflicting_column_denominators", None), ("ratio", 9, [50], [], False, True, "adjustment_method_scope_not_mapped", None), ("none", None, [], [], False, False, "no_explicit_denominator", None),
     ]
     df = spark.createDataFrame(rows, "k string, ratio_n bigint, header_ns array<bigint>, global_ns array<bigint>, explicit_basis boolean, adjusted boolean, want string, want_d bigint")
     for r in lattice.scope(df).collect():
@@ -61,15 +61,41 @@ def test_lattice_overrides(spark):
 
 
 def test_prisma(spark):
-    said = "In this systematic review, {} records were identified. After removing {} duplicates, {} records were screened."
-    rows = [("ok", said.format("1,200", 200, "1,000")), ("off", said.format(100, 20, 79)), ("more", said.format(10, 20, 5)), ("silent", "A systematic review screened much."), ("other", "Nothing here.")]
+    said = "A PRISMA review. Records identified: {}; duplicates removed ({}), record screened: {}."
+    rows = [
+        ("ok", said.format("1,200", 200, "1\u00a0000")), ("off", said.format(100, 20, 79)), ("more", said.format(10, 20, 5)), ("silent", "A systematic review: studies. Records screened by two."), ("other", "Nothing here."),
+        ("bases", said.format(10, 2, 8) + " From PubMed."), ("twice", said.format(10, 2, 8) * 2), ("wide", said.format(10**12 + 1, 2, 8)), ("long", "Records screened " + "x" * 8000), ("no review", "Records identified: 10; duplicates removed: 2; records screened: 8"),
+        ("sentence", "In this systematic review, 100 records were identified. After removing 20 duplicates, 80 records were screened."),
+    ]
     got = {r.doc_id: (r.status, r.reason, r.expected, r.difference) for r in prose.prisma(spark.createDataFrame(rows, "doc_id string, text string"), "text").collect()}
+    refused = lambda reason: ("UNSUPPORTED", f"PRISMA_{reason}", None, None)
     assert got == {
-        "ok": ("PRISMA_FLOW_BALANCED", None, 1000, 0), "off": ("PRISMA_FLOW_ARITHMETIC_CANDIDATE", None, 80, -1), "more": ("UNSUPPORTED", "PRISMA_DUPLICATES_EXCEED_IDENTIFIED", None, None),
-        "silent": ("UNSUPPORTED", "PRISMA_LABELLED_TRANSITION_NOT_RECOGNIZED", None, None),
+        "ok": ("PRISMA_FLOW_BALANCED", None, 1000, 0), "off": ("PRISMA_FLOW_ARITHMETIC_CANDIDATE", None, 80, -1), "more": ("UNSUPPORTED", "PRISMA_DUPLICATES_EXCEED_IDENTIFIED_RECORDS", -10, 15),
+        "silent": refused("LABELLED_TRANSITION_NOT_RECOGNIZED"), "bases": refused("SCOPE_OR_STAGE_AMBIGUOUS"), "twice": refused("LABELLED_TRANSITION_NOT_RECOGNIZED"), "wide": refused("COUNT_OUT_OF_BOUNDS"), "long": refused("PARAGRAPH_LIMIT"),
     }
 
 
+def test_long_chains_are_no_cycles(spark):
+    from pyspark.sql import functions as F
+
+    from tallyproof.operators import lineage
+
+    chain = spark.range(300).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    assert lineage.in_cycles(chain.where("up is not null")).count() == 0
+    ring = spark.range(40).select((F.col("id") + 1000).alias("id"), ((F.col("id") + 1) % 40 + 1000).alias("up")).union(spark.range(5).select((F.col("id") + 2000).alias("id"), F.lit(1003).alias("up")))
+    both = chain.union(ring)
+    assert {r.id for r in lineage.in_cycles(both.where("up is not null")).collect()} == {*range(1000, 1040), *range(2000, 2005)}
+    got = {r.id: r.cycle_length for r in lineage.cycle_lengths(both).collect()}
+    assert got == {i: None for i in [*range(300), *range(2000, 2005)]} | {i: 40 for i in range(1000, 1040)}
+
+
+def test_lines_that_are_no_sentences_are_listed(spark):
+    docs = [("a", "For every real x in [0, 2], 3*x <= 7.\nFor every real x it holds.\nplain\n".encode()), ("b", b"For every \xff\xfe"), ("c", ("For every real x in [0, 2], " + "x" * 3000).encode()), ("d", None)]
+    rows = literals.scan(literals.lines(spark.createDataFrame(docs, "doc_id string, content binary"))).collect()
+    got = {(r.doc_id, r.line): r.code for r in rows}
+    assert got == {("a", 1): None, ("a", 2): "SENTENCE_NOT_OF_THE_GRAMMAR", ("b", 1): "NOT_UTF8", ("c", 1): "LINE_LIMIT", ("d", 1): "NOT_UTF8"}
+
+
 def test_flows(spark):
     rows = [(100, [10, 5], 80, True), (100, [10, 5], 85, True), (100, [10, 5], 85, False), (100, [10], 90, True)]
     df = spark.createDataFrame(rows, "total bigint, exclusions array<bigint>, included bigint, cue boolean")

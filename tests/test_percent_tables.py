@@ -40,14 +40,14 @@ CASES = {
     "two_captions": (article(table(tr("A", "4 (8.0)"), HEAD, "N=50 of N=60")), [("scope_ambiguous", "multiple_unscoped_table_denominators", None, None, None)]),
     "missing": (
         article(table("<tr><td colspan='2'>Age n (%)</td></tr>" + tr("Young", "50 (50)") + tr("Missing", "1 (&lt;1%)") + "<tr><td colspan='2'>Region n (%)</td></tr>" + tr("North", "20 (20)"), HEAD, "N=100")),
-        [("scope_ambiguous", "missing_data_denominator_scope_unclear", 100, "table_caption_or_footnote", None), ("arithmetic_match", None, 100, "table_caption_or_footnote", "20")],
+        [("scope_ambiguous", "missing_data_denominator_scope_unclear", None, None, None), ("arithmetic_match", None, 100, "table_caption_or_footnote", "20")],
     ),
     "columns": (article(table(tr("A", "4", "50", "8.0"), tr("Item", "n", "N", "%", tag="th"))), [("arithmetic_match", None, 50, "row_denominator_column", "8.0")]),
     "rounding": (article(table(tr("A", "4 (8.0)"), HEAD, "N=50", "Values were rounded")), [("rounding_ambiguous", "source_rounding_convention_not_modeled", 50, "table_caption_or_footnote", None)]),
-    "adjusted": (article(table(tr("A", "4 (8.0)"), HEAD, "N=50"), text="<p>Weighted percentages are reported.</p>"), [("scope_ambiguous", "adjustment_method_scope_not_mapped", 50, "table_caption_or_footnote", None)]),
+    "adjusted": (article(table(tr("A", "4 (8.0)"), HEAD, "N=50"), text="<p>Weighted percentages are reported.</p>"), [("scope_ambiguous", "adjustment_method_scope_not_mapped", None, None, None)]),
     "adjusted_elsewhere": (
         article(table(tr("A", "4 (8.0)"), HEAD, "N=50"), table(tr("A", "4 (8.0)"), HEAD, "N=50", ident="T2"), text='<p>Weighted percentages are shown only in <xref ref-type="table" rid="T2">Table 2</xref>.</p>'),
-        [("arithmetic_match", None, 50, "table_caption_or_footnote", "8.0"), ("scope_ambiguous", "adjustment_method_scope_not_mapped", 50, "table_caption_or_footnote", None)],
+        [("arithmetic_match", None, 50, "table_caption_or_footnote", "8.0"), ("scope_ambiguous", "adjustment_method_scope_not_mapped", None, None, None)],
     ),
     "fragments": (article(table(tr("A", "P12 5 (10%); C4 10 (20%)".replace("P12", "P").replace("C4", "C")), HEAD, "N=50")), [("arithmetic_match", None, 50, "table_caption_or_footnote", "20"), ("arithmetic_match", None, 50, "table_caption_or_footnote", "10")]),
     "spans": (article(table("<tr><td>A</td><td rowspan='2'>4 (8.0)</td></tr><tr><td>B</td></tr>", HEAD, "N=50")), [("scope_ambiguous", "unsupported_data_cell_spans", None, None, None)]),
@@ -97,3 +97,48 @@ def test_nodes_have_byte_spans_and_paths(spark):
     assert data[rows[2].byte_start : rows[2].byte_end].decode() == "<p>é <b>x</b></p>"
     assert data[rows[4].byte_start : rows[4].byte_end] == b'<p a="1>2"/>'
     assert rows[2].text == "é x"
+
+
+def test_documents_with_too_many_relations_are_refused_with_a_reason(spark):
+    many = lambda n: article(table("".join(tr("r", f"{i} (1.0)") for i in range(1, n + 1)), HEAD, "N=9999"))
+    docs = articles.layouts(spark.createDataFrame([("at", many(1000)), ("above", many(1001))], "doc_id string, content binary"))
+    assert {r.doc_id: (r.status, r.reason) for r in percent_tables.document_status(docs).collect()} == {"at": ("parsed", None), "above": ("refused", "too_many_relations")}
+    assert {r.doc_id for r in percent_tables.relations(docs).select("doc_id").distinct().collect()} == {"at"}
+
+
+def test_grids_with_spans_and_clashes(spark):
+    """Cells that reach over rows and columns against a plain grid of slots."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        rows = [[(rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]
+        body = "".join("<tr>" + "".join(f'<td colspan="{a}" rowspan="{d}">x</td>' for a, d in r) + "</tr>" for r in rows)
+        doc = articles.parse(f"<article><table>{body}</table></article>".encode())
+        grid = articles.Grid(doc, [doc.kids(r, "td") for r in doc.find(0, "tr")])
+        taken, want, bad = set(), [], False
+        for r, cells in enumerate(rows):
+            c = 0
+            for a, d in cells:
+                while (r, c) in taken:
+                    c += 1
+                if r + d > len(rows):
+                    a = d = 1
+                    bad = True
+                slots = {(i, j) for i in range(r, r + d) for j in range(c, c + a)}
+                bad = bad or bool(slots & taken)
+                taken |= slots
+                want.append((r, c, a, d))
+                c += a
+        assert [(r, c, a, d) for _, r, _, c, a, d in grid.rects] == want and grid.bad == bad
+        if not bad:
+            assert grid.full() == (len(taken) == len(rows) * (max(j for _, j in taken) + 1))
+
+
+def test_hostile_articles_take_linear_time(spark):
+    import time
+
+    began = time.process_time()
+    wide = articles.parse(b"<article>" + b"<p a='>'/>" * 90_000 + b"</article>")
+    assert len(articles.node_rows(wide)) == 90_001 and time.process_time() - began < 20
+    assert [r["ordinal"] for r in articles.node_rows(wide)[:4]] == [0, 0, 1, 2]
