@@ -7,14 +7,13 @@ up, level by level.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.functions.rationals import Invalid, need, rational
+from tallyproof.functions.rationals import Invalid, need, rational, strict_json
 from tallyproof.sources.shared import ship_code
 
 MAX_LEAVES = 32_768
@@ -118,7 +117,7 @@ def leaf_bounds(leaves: DataFrame, model: dict) -> DataFrame:
             rows = []
             for ix, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    leaf = json.loads(text)
+                    leaf = strict_json(text)
                     got = m.leaf_bound(leaf)
                     rows.append((ix, leaf["lower"], leaf["upper"], None if got is None else str(got), None))
                 except (Invalid, KeyError, TypeError, ValueError) as e:
@@ -164,3 +163,41 @@ def verify(leaves: DataFrame, model: dict, claimed: str) -> dict:
         "status": "infeasible_model_certified" if best is None else "upper_bound_certified", "verified_upper": None if best is None else str(best),
         "strictly_below_claimed_upper": best is not None and best < target, "checked_leaves": len(rows), "proved_empty_leaves": len(rows) - len(bounds),
     }
+
+
+def point_value(model: dict, values: list[str]) -> str:
+    """The objective at a supplied point, which has to meet every bound, row and product exactly."""
+    m = Model.of(model)
+    need(isinstance(values, list) and len(values) == len(m.bounds), "POINT_DIMENSION")
+    x = [literal(v) for v in values]
+    at = lambda row: sum((k * x[j] for j, k in row.items()), Fraction(0))
+    need(all(low <= v <= high for v, (low, high) in zip(x, m.bounds, strict=True)), "POINT_BOUNDS")
+    need(all(at(row) <= rhs for row, rhs in m.inequalities), "POINT_INEQUALITY")
+    need(all(at(row) == rhs for row, rhs in m.equalities), "POINT_EQUALITY")
+    need(all(x[a] * x[b] == x[w] for a, b, w in m.products), "POINT_PRODUCT")
+    return str(m.constant + at(m.objective))
+
+
+#: Bytes of a certificate and of one of its lines.
+MAX_PROOF_BYTES, MAX_LINE_BYTES = 64 << 20, 256 << 10
+
+
+def certificate_lines(files: DataFrame) -> DataFrame:
+    """(file_id, status, reason, header, leaf_ix, leaf) of files (file_id, content, expected_sha256): one row a leaf; a file that can't be used has one row with a reason.
+
+    The first line is the header. The hash is of the whole file, so that no line can be left out.
+    """
+    text = F.col("content").cast("string")
+    lines = F.split(text, "\n")
+    found = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
+    reason = (
+        F.when(F.octet_length("content") > MAX_PROOF_BYTES, "PROOF_BYTE_LIMIT")
+        .when(F.sha2("content", 256) != F.col("expected_sha256"), "EXTERNAL_CERTIFICATE_PIN_MISMATCH")
+        .when(~F.is_valid_utf8(text), "NOT_UTF8")
+        .when(F.coalesce(F.octet_length("content"), F.lit(0)) == 0, "EMPTY_CERTIFICATE_FILE")
+        .when(~F.endswith(text, F.lit("\n")) | F.exists(lines, lambda x: F.octet_length(x) >= MAX_LINE_BYTES), "PROOF_LINE_TOO_LONG_OR_UNTERMINATED")
+        .when(F.size(lines) - 2 > MAX_LEAVES, "PROOF_LINE_COUNT_LIMIT")
+    )
+    rows = files.select("file_id", reason.alias("reason"), F.when(reason.isNull(), found).alias("found"))
+    rows = rows.select("file_id", "reason", F.get("found", F.lit(0)).alias("header"), F.posexplode_outer(F.slice("found", F.lit(2), F.greatest(F.size("found") - 1, F.lit(0)))).alias("leaf_ix", "leaf"))
+    return rows.select("file_id", F.when(F.col("reason").isNull(), "read").otherwise("refused").alias("status"), "reason", "header", "leaf_ix", "leaf")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,3 +125,47 @@ def taxonomy(matched: DataFrame) -> DataFrame:
         .otherwise("supported")
     )
     return matched.withColumn("outcome", kind)
+
+
+def family_gates(studies: DataFrame) -> DataFrame:
+    """Gates of paired studies, one row each, from the counts of their families.
+
+    studies: positive, wins, losses (families with a signal, and those that only the candidate or
+    only the baseline found); negative, candidate_alarms, baseline_alarms; unknown (families without
+    an outcome in either run); minimum_positive, minimum_negative; alpha, safety_alpha, margin and
+    gain as rationals (text). Metrics only where all outcomes are known and each side has 1 to
+    MAX_FAMILIES families; all else keeps a reason.
+    """
+    from fractions import Fraction
+
+    from tallyproof.functions import statistics
+    from tallyproof.functions.rationals import outward
+    from tallyproof.sources.shared import ship_code
+
+    complete = F.col("unknown") == 0
+    sizes = F.col("positive").between(1, statistics.MAX_FAMILIES) & F.col("negative").between(1, statistics.MAX_FAMILIES)
+    enough = (F.col("positive") >= F.col("minimum_positive")) & (F.col("negative") >= F.col("minimum_negative"))
+
+    @F.pandas_udf("struct<p_upper:string,harm_upper:string,significant:boolean,practical:boolean,safe:boolean>")
+    def tests(wins: pd.Series, losses: pd.Series, positive: pd.Series, negative: pd.Series, candidate: pd.Series, baseline: pd.Series, alpha: pd.Series, safety: pd.Series, margin: pd.Series, gain: pd.Series) -> pd.DataFrame:
+        rows = []
+        for w, x, n, m, c, b, a, s, most, least in zip(wins, losses, positive, negative, candidate, baseline, alpha, safety, margin, gain, strict=True):
+            if pd.isna(w):
+                rows.append((None,) * 5)
+                continue
+            p, harm = statistics.discordance_p(int(w), int(x)), statistics.harm_upper(int(c), int(b), int(m), Fraction(s))
+            rows.append((outward(p, True), outward(harm, True), p < Fraction(a), Fraction(int(w) - int(x), int(n)) >= Fraction(least), harm <= Fraction(most)))
+        return pd.DataFrame(rows, columns=["p_upper", "harm_upper", "significant", "practical", "safe"])
+
+    ship_code(studies.sparkSession)
+    rows = studies.withColumns({"complete": complete, "computable": sizes, "sample_met": enough})
+    names = ("wins", "losses", "positive", "negative", "candidate_alarms", "baseline_alarms")
+    rows = rows.withColumn("t", tests(*(F.when(F.col("complete") & F.col("computable"), F.col(c)) for c in names), "alpha", "safety_alpha", "margin", "gain"))
+    met = F.col("t.significant") & F.col("t.practical") & F.col("t.safe")
+    gate = F.when(~(F.col("complete") & F.col("computable")), "not_evaluated").when(met & F.col("sample_met"), "met_on_unverified_development_data").otherwise("not_met_or_sample_inadequate")
+    rows = rows.withColumn("numeric_thresholds", gate)
+    reasons = F.array_compact(F.array(
+        F.when(~F.col("complete"), "MISSING_OR_UNRESOLVED_ELIGIBLE_FAMILIES"), F.when(~F.col("computable"), "NO_ENDPOINT_DATA_OR_SIZE_LIMIT"), F.when(~F.col("sample_met"), "DECLARED_MINIMUM_SAMPLE_NOT_MET"),
+        F.when(F.col("complete") & F.col("computable") & (gate != "met_on_unverified_development_data"), "STATISTICAL_OR_PRACTICAL_THRESHOLD_NOT_MET"),
+    ))
+    return rows.withColumn("reasons", reasons).select("*", "t.*").drop("t")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyproof.plans import arithmetic, documents, records
+from tallyproof.plans import arithmetic, documents, evidence, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**arithmetic.Q, **records.Q, **documents.Q}
-ORACLE_SQL: dict[str, str] = {**arithmetic.SQL, **records.SQL, **documents.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**arithmetic.Q, **records.Q, **documents.Q, **evidence.Q}
+ORACLE_SQL: dict[str, str] = {**arithmetic.SQL, **records.SQL, **documents.SQL, **evidence.SQL}
