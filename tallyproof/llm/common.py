@@ -111,15 +111,16 @@ def n_parts(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
 
-    It lies in the folder that the cluster names in spark.checkpoint.dir. Only where none is named
-    is another taken: on one machine a temporary folder, else one in the warehouse.
+    It lies in the folder that the cluster names in spark.checkpoint.dir. Where none is named, one
+    machine takes a temporary folder; a cluster is refused, since its machines share none.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         base = tempfile.mkdtemp(prefix="tallyproof-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return f"{base.rstrip('/')}/tallyproof-{uuid.uuid4().hex}"
 
 

@@ -27,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_pieces", "ids_sha256", "nbest_scores", "round_trip"
+        "doc_id", "n_pieces", "ids_sha256", "nbest_scores", "nbest_sha256", "round_trip"
     )
 
 
@@ -64,9 +64,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOKEN_LIMIT = 4096
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_prefix.prefix_counts(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit")
+    return token_prefix.prefix_counts(read(spark, sf_dir, "documents"), budget=TOKEN_LIMIT).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "chars_within"
     )
 
 

@@ -134,20 +134,21 @@ class Codec:
                 heapq.heappush(queue, (-(best[start] + behind + x), order, start, behind + x, (start, path)))
         return found
 
-    def losses(self, unit: str, n: int) -> list[float]:
+    def losses(self, unit: str, n: int) -> list[tuple[float, bytes]]:
+        """Of the n best paths of a unit, what each loses to the best, and its ids."""
         found = self.others.get((unit, n))
         if found is None:
             paths = self.n_best(unit, n)
-            found = [paths[0][0] - x for x, _ in paths]
+            found = [(paths[0][0] - x, self.to_ids(unit, cuts)) for x, cuts in paths]
             self.others.put((unit, n), found)
         return found
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[float]]:
-        """ids (int32) of the best segmentation, and the scores of the n best."""
+    def segmentations(self, text: str, n: int = N_BEST) -> tuple[bytes, list[float], list[list[tuple[int, int, bytes]]]]:
+        """ids (int32) of the best segmentation, the scores of the n best, and of each what it changes in the best one: (begin, end, ids) in bytes, in order."""
         if not text:
-            return b"", []
+            return b"", [], []
         ids, total, least = [], 0.0, []
-        units = []
+        units, at = [], []
         for part, literal in self.parts(text):
             if literal:
                 ids.append(np.array([self.pieces.byte_ids[x] for x in META.encode()], dtype="<i4").tobytes())
@@ -155,17 +156,35 @@ class Codec:
                 continue
             known = self.of_unit.young.get
             found = [known(x) or self.first(x) for x in part]
+            at.append((len(units), len(ids)))
             ids.extend([x[2] for x in found])
             total += sum([x[0] for x in found])
             least.extend([x[1] for x in found])
             units.extend(part)
         # Only the n - 1 smallest losses can be in the n best sums.
-        chosen = np.argsort(np.array(least), kind="stable")[: n - 1] if n > 1 else ()
-        sums = [0.0]
+        chosen = np.argsort(np.array(least), kind="stable")[: n - 1].tolist() if n > 1 else ()
+        sums: list[tuple[float, tuple]] = [(0.0, ())]
         for k in chosen:
             if least[k] < float("inf"):
-                sums = sorted(a + b for a in sums for b in self.losses(units[k], n))[:n]
-        return b"".join(ids), [total - x for x in sums]
+                others = self.losses(units[k], n)
+                sums = sorted(((a + b, (*made, (k, rank)) if rank else made) for a, made in sums for rank, (b, _) in enumerate(others)), key=lambda x: x[0])[:n]
+        wanted = sorted({k for _, made in sums for k, _ in made})
+        place: dict[int, tuple[int, int]] = {}
+        size = 0
+        if wanted:
+            sizes, done = list(map(len, ids)), 0
+            for k in wanted:
+                first_unit, first_id = next(x for x in reversed(at) if x[0] <= k)
+                i = first_id + k - first_unit
+                size += sum(sizes[done:i])
+                place[k] = size, size + sizes[i]
+                done = i
+        changes = [[(*place[k], self.losses(units[k], n)[rank][1]) for k, rank in sorted(made)] for _, made in sums]
+        return b"".join(ids), [total - x for x, _ in sums], changes
+
+    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[float]]:
+        """ids (int32) of the best segmentation, and the scores of the n best."""
+        return self.segmentations(text, n)[:2]
 
     def parts(self, text: str) -> list[tuple[list[str], bool]]:
         """Units of the text; a literal U+2581 is a part of its own."""
@@ -195,22 +214,39 @@ def codec(path: str, cache: int = CACHE) -> Codec:
     return _codecs[path, cache]
 
 
+def changed(ids: bytes, changes: list[tuple[int, int, bytes]]) -> bytes:
+    """The ids of a segmentation from those of the best one."""
+    out, at = [], 0
+    for begin, end, other in changes:
+        out += ids[at:begin], other
+        at = end
+    return b"".join([*out, ids[at:]])
+
+
 def encode(df: DataFrame, path: str | None = None, n: int = N_BEST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece_ids, n_pieces, ids_sha256, nbest_scores (best first) and round_trip (decoding gives the text)."""
+    """doc_id, piece_ids, n_pieces, ids_sha256, nbest_scores (best first), nbest_sha256 (of each one's ids), nbest_changes and round_trip (decoding gives the text).
+
+    nbest_changes: of each of the n best, the parts of piece_ids that it replaces (begin and end
+    place) and the ids that stand there, so that it is whole with piece_ids.
+    """
 
     def start():
         work_with = codec(model_path(path))
 
         def work(keys, texts):
             texts = [x or "" for x in texts]
-            found = [work_with.encode(x, n) for x in texts]
+            found = [work_with.segmentations(x, n) for x in texts]
             ids = [np.frombuffer(x[0], dtype="<i4") for x in found]
+            sha = lambda x: hashlib.sha256(x).hexdigest()
+            part = lambda c: {"begin": c[0] // 4, "end": c[1] // 4, "ids": np.frombuffer(c[2], dtype="<i4")}
             return (
                 keys,
                 ids,
                 list(map(len, ids)),
                 [hashlib.sha256(x[0]).hexdigest() for x in found],
                 [x[1] for x in found],
+                [[sha(changed(x[0], c)) for c in x[2]] for x in found],
+                [[list(map(part, c)) for c in x[2]] for x in found],
                 [work_with.decode(a.tolist()) == x for a, x in zip(ids, texts, strict=True)],
             )
 
@@ -219,7 +255,7 @@ def encode(df: DataFrame, path: str | None = None, n: int = N_BEST, key: str = "
     return map_rows(
         docs_of(df, key, text, binary=False),
         start,
-        "doc_id bigint, piece_ids array<int>, n_pieces bigint, ids_sha256 string, nbest_scores array<double>, round_trip boolean",
+        "doc_id bigint, piece_ids array<int>, n_pieces bigint, ids_sha256 string, nbest_scores array<double>, nbest_sha256 array<string>, nbest_changes array<array<struct<begin:int,end:int,ids:array<int>>>>, round_trip boolean",
     )
 
 

@@ -127,8 +127,11 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
-def prefix_counts(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens and prefix_changes, the stored counts at every prefix."""
+def prefix_counts(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", budget: int = 4096) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, chars_within and prefix_changes, the stored counts at every prefix.
+
+    chars_within: the most code points whose encoding has at most budget tokens, read from those counts.
+    """
 
     def start():
         count = counter(model_path(path))
@@ -136,11 +139,12 @@ def prefix_counts(df: DataFrame, path: str | None = None, key: str = "doc_id", t
         def work(ids, texts):
             texts = [x or "" for x in texts]
             found = [count.text(x) for x in texts]
-            return ids, [len(x.encode()) for x in texts], [x[0] for x in found], [x[1] for x in found]
+            within = [len(t) if n <= budget else fit(c, budget) for t, (n, c) in zip(texts, found, strict=True)]
+            return ids, [len(x.encode()) for x in texts], [x[0] for x in found], within, [x[1] for x in found]
 
         return work
 
     return map_rows(
-        docs_of(df, key, text, binary=False), start, "doc_id bigint, n_bytes bigint, n_tokens bigint, prefix_changes binary"
+        docs_of(df, key, text, binary=False), start, "doc_id bigint, n_bytes bigint, n_tokens bigint, chars_within bigint, prefix_changes binary"
     )
 

@@ -85,6 +85,47 @@ def test_n_best_is_the_brute_force(documents):
         assert [s for s, _ in best] == sorted((s for s, _ in best), reverse=True)
 
 
+def all_paths(codec, unit):
+    """(score, ids) of every segmentation of a unit."""
+    out = []
+
+    def go(i, total, cuts):
+        if i == len(unit):
+            out.append((total, np.frombuffer(codec.to_ids(unit, cuts), "<i4").tolist()))
+        for j in range(i + 1, len(unit) + 1):
+            x = codec.score.get(unit[i:j], codec.unknown if j == i + 1 else None)
+            if x is not None:
+                go(j, total + x, [*cuts, j])
+
+    go(0, 0.0, [0])
+    return sorted(out, key=lambda x: -x[0])
+
+
+def test_the_n_best_come_with_their_ids():
+    import random
+
+    rng = random.Random(13)
+    codec = sp_codec.codec(pieces.model_path(None))
+    texts = ["the", "then a", "é in", "a  b", "x\nyz", "interna", "th he", "a▁b c"] + ["".join(rng.choice("aeinrst h") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    for text in texts:
+        ids, scores, changes = codec.segmentations(text, 4)
+        found = [np.frombuffer(sp_codec.changed(ids, c), "<i4").tolist() for c in changes]
+        assert len(found) == len(scores) and len({tuple(x) for x in found}) == len(found) and all(codec.decode(x) == text for x in found)
+        if "▁" not in text:
+            of = {tuple(i): s for s, i in all_paths(codec, "▁" + text.replace(" ", "▁"))}
+            assert np.allclose([of[tuple(x)] for x in found], scores, rtol=1e-12)
+
+
+def test_characters_within_a_budget(documents):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path(None))
+    rows = {r.doc_id: r.chars_within for r in token_prefix.prefix_counts(documents.where("length(text) < 3000"), budget=20).collect()}
+    for i, t in texts_of():
+        if i is not None and len(t) < 300 and rows.get(i) is not None and t:
+            assert rows[i] == max(k for k in range(len(t) + 1) if len(sp.encode(t[:k])) <= 20) or len(sp.encode(t)) <= 20 and rows[i] == len(t)
+
+
 def test_pieces_round_trip(documents, odd_documents, empty_documents):
     rows = sp_codec.encode(odd_documents)
     assert all(r.round_trip for r in rows.collect())
