@@ -23,13 +23,16 @@ def normalized(df: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, comp): the least string id reachable over edges (a, b), by taking neighbours' labels until none changes."""
+    """(id, comp): the least string id reachable over edges (a, b), by taking neighbours' labels and then the labels' own until none changes, so rounds grow with the logarithm of a chain's length."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     both = written(both)
     label = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
     while True:
         near = both.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        new = written(label.join(near, "id").select("id", F.least("comp", "m").alias("comp"), (F.col("m") < F.col("comp")).alias("moved")))
+        least = label.join(near, "id").select("id", "comp", F.least("comp", "m").alias("least"))
+        up = label.select(F.col("id").alias("least"), F.col("comp").alias("up"))
+        lower = F.coalesce("up", "least")
+        new = written(least.join(up, "least", "left").select("id", lower.alias("comp"), (lower < F.col("comp")).alias("moved")))
         if not new.where("moved").limit(1).count():
             return label
         label = new.select("id", "comp")
@@ -39,31 +42,43 @@ def merge_group(rows: list[tuple]) -> tuple[dict[str, str], list[tuple[str, str,
     """(group of each id, refused links) of the records (id, doi, pmcid, pmid) of one component."""
     rows = sorted(rows)
     ids = [dict(zip(KINDS, r[1:], strict=True)) for r in rows]
-    tied = []
-    for x in ids:
-        dois = {y["doi"] for y in ids if y["doi"] and any(x[k] and x[k] == y[k] for k in ("pmcid", "pmid"))}
-        tied.append(not x["doi"] and len(dois) > 1)
-    group = {i: {i} for i in range(len(rows))}
-    refused, links = [], []
-    for i in range(len(rows)):
-        for j in range(i + 1, len(rows)):
-            shared = next((n for n, k in enumerate(KINDS) if ids[i][k] and ids[i][k] == ids[j][k]), None)
-            if shared is not None:
-                links.append((shared, i, j))
+    holders: dict[tuple[int, str], list[int]] = {}
+    for i, x in enumerate(ids):
+        for rank, k in enumerate(KINDS):
+            if x[k]:
+                holders.setdefault((rank, x[k]), []).append(i)
+    dois_of = {key: {ids[i]["doi"] for i in members} for key, members in holders.items()}
+    known = lambda x: set().union(*(dois_of[rank, x[k]] for rank, k in enumerate(KINDS) if rank and x[k])) - {None}
+    tied = [not x["doi"] and len(known(x)) > 1 for x in ids]
+    # Of each record its group: members, their DOIs, whether one of them is tied.
+    group = {i: ({i}, {x["doi"]} - {None}, [tied[i]]) for i, x in enumerate(ids)}
+    refused, links = [], set()
+    for (rank, _), members in holders.items():
+        # Holders of one DOI can't be refused to each other: a star ties them. Others are compared each with each.
+        dois = dois_of[rank, ids[members[0]][KINDS[rank]]]
+        star = len(dois) == 1 and None not in dois
+        for n, i in enumerate(members[:1] if star else members):
+            for j in members[n + 1 :]:
+                # A link counts by the first identifier that two records share.
+                if not any(ids[i][k] and ids[i][k] == ids[j][k] for k in KINDS[:rank]):
+                    links.add((rank, i, j))
     for _, i, j in sorted(links):
         if group[i] is group[j]:
             continue
-        dois = [{ids[k]["doi"] for k in g if ids[k]["doi"]} for g in (group[i], group[j])]
-        unsure = [any(tied[k] for k in g) for g in (group[i], group[j])]
-        if dois[0] and dois[1] and dois[0] != dois[1]:
+        (_, dois_i, unsure_i), (_, dois_j, unsure_j) = group[i], group[j]
+        if dois_i and dois_j and dois_i != dois_j:
             refused.append((rows[i][0], rows[j][0], "conflicting_doi"))
-        elif (unsure[0] and dois[1]) or (unsure[1] and dois[0]):
+        elif (unsure_i[0] and dois_j) or (unsure_j[0] and dois_i):
             refused.append((rows[i][0], rows[j][0], "ambiguous_identifier_overlap"))
         else:
-            whole = group[i] | group[j]
-            for k in whole:
-                group[k] = whole
-    return {rows[i][0]: rows[min(group[i])][0] for i in group}, refused
+            small, large = sorted((group[i], group[j]), key=lambda g: len(g[0]))
+            large[0].update(small[0])
+            large[1].update(small[1])
+            large[2][0] |= small[2][0]
+            for k in small[0]:
+                group[k] = large
+    least = {id(g): min(g[0]) for g in {id(g): g for g in group.values()}.values()}
+    return {rows[i][0]: rows[least[id(group[i])]][0] for i in group}, refused
 
 
 def merge(candidates: DataFrame) -> DataFrame:
