@@ -137,3 +137,58 @@ def certificate_files(spark, sf_dir):
     sums = bounds.where("half").groupBy("file_id").agg((F.max("n") * F.lit(5)).alias("tenths"))
     found = lines.groupBy("file_id", "status", "reason").agg(F.count("leaf").alias("leaves")).join(sums, "file_id", "left")
     return found.select("file_id", "status", "reason", "leaves", F.when(F.col("tenths").isNotNull(), F.format_string("%d.%d", F.floor(F.col("tenths") / 10), F.col("tenths") % 10)).alias("bounds"))
+
+
+@query(
+    "audit_reports",
+    _SEGMENTS + """
+SELECT CAST(c_nationkey AS VARCHAR) AS doc_id, CASE WHEN c_nationkey % 7 IN (3, 5) THEN 'extraction_failed' ELSE 'completed' END AS status,
+  CASE c_nationkey % 7 WHEN 3 THEN 'source_hash_mismatch' WHEN 5 THEN 'root_is_not_article' END AS reason, CASE WHEN c_nationkey % 7 IN (3, 5) THEN 0 ELSE 1 END AS tables_inspected,
+  CASE WHEN c_nationkey % 7 IN (3, 5) THEN 0 ELSE count(*) END AS relationships_detected, CASE WHEN c_nationkey % 7 IN (3, 5) THEN 0 ELSE count(*) FILTER (shown = units) END AS arithmetic_matches,
+  CASE WHEN c_nationkey % 7 IN (3, 5) THEN 0 ELSE count(*) FILTER (shown <> units) END AS mismatch_candidates, 0 AS abstentions FROM s GROUP BY c_nationkey""",
+)
+def audit_reports(spark, sf_dir):
+    """Reports of the segment articles, some with bytes other than expected, some no articles at all."""
+    from tallyproof.operators import audit
+
+    k = F.col("doc_id").cast("int") % 7
+    docs = segment_articles(spark, sf_dir)
+    docs = docs.withColumn("content", F.when(k == 5, F.encode(F.lit("<book/>"), "UTF-8")).otherwise(F.col("content")))
+    docs = docs.withColumn("expected_sha256", F.when(k == 3, F.sha2(F.lit("x"), 256)).when(k == 1, F.sha2("content", 256)))
+    reports, _ = audit.audit_documents(docs, articles.layouts(docs))
+    return reports.select("doc_id", "status", "reason", *(F.col(c).cast("bigint") for c in ("tables_inspected", "relationships_detected", "arithmetic_matches", "mismatch_candidates", "abstentions")))
+
+
+@query(
+    "run_metrics",
+    """
+WITH a AS (SELECT o_orderkey AS k, o_custkey AS d, o_orderkey % 5 = 0 AS discrepancy, o_orderkey % 7 = 0 AS open_scope, o_orderkey % 10 = 0 AS unsettled FROM orders WHERE o_orderkey % 3 <> 0),
+r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 1 WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS d,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'scope_ambiguous' WHEN o_orderkey % 4 = 0 THEN 'arithmetic_mismatch_candidate' ELSE 'arithmetic_match' END AS status, o_orderkey % 17 <> 0 AS anchored FROM orders WHERE o_orderkey % 9 <> 1),
+m AS (SELECT a.*, r.d AS rd, r.status, r.k IS NOT NULL AS hit, coalesce(r.anchored, false) AS trusted, coalesce(r.d <> a.d, false) AS different,
+  coalesce(r.anchored AND r.status = 'arithmetic_mismatch_candidate', false) AS mismatch FROM a LEFT JOIN r USING (k)),
+n AS (SELECT *, mismatch AND NOT different AND NOT open_scope AND rd IS NOT NULL AS credited FROM m)
+SELECT count(*) AS annotations, count(*) FILTER (trusted) AS annotated_relationships_surfaced, count(*) FILTER (different) AS parsed_denominator_disagreements, count(*) FILTER (different AND open_scope) AS unresolved_denominator_disagreements,
+  count(*) FILTER (different AND NOT open_scope AND trusted AND status <> 'scope_ambiguous') AS incorrect_denominator_assignments, count(*) FILTER (discrepancy AND credited) AS matched_reference_discrepancies,
+  count(*) FILTER (discrepancy AND NOT credited) AS missed_reference_discrepancies, count(*) FILTER ((discrepancy AND credited AND unsettled) OR (NOT discrepancy AND mismatch AND open_scope)) AS unresolved_mismatch_candidates,
+  count(*) FILTER (NOT discrepancy AND mismatch AND NOT open_scope) AS candidate_false_positives_against_annotations, (SELECT count(*) FROM r) AS relationships_detected,
+  (SELECT count(*) FROM r WHERE status = 'arithmetic_match') AS arithmetic_matches, (SELECT count(*) FROM r WHERE status = 'arithmetic_mismatch_candidate') AS mismatch_candidates,
+  (SELECT count(*) FROM r WHERE status = 'scope_ambiguous') AS abstentions, (SELECT count(*) FROM r WHERE NOT anchored) AS source_anchor_failures,
+  (SELECT count(*) FROM r WHERE k NOT IN (SELECT k FROM a)) AS unannotated_outputs, (SELECT count(*) FROM r WHERE k NOT IN (SELECT k FROM a) AND status = 'arithmetic_mismatch_candidate') AS unreviewed_mismatch_candidates FROM n""",
+)
+def run_metrics(spark, sf_dir):
+    """Orders as annotations and as a run's results, each with gaps, other denominators, open scopes and lost anchors."""
+    from tallyproof.operators import audit
+
+    k, d = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    key = [k.cast("string").alias("doc_id"), k.alias("byte_start"), (k + 1).alias("byte_end"), F.lit(1).alias("numerator"), F.lit("1.0").alias("reported_percent")]
+    annotations = o.where("o_orderkey % 3 <> 0").select(
+        *key, d.alias("denominator"), F.when(k % 7 == 0, "unknown").otherwise("explicit").alias("scope_status"), F.when(k % 5 == 0, audit.CANDIDATE).otherwise(audit.MATCH).alias("arithmetic_status"),
+        F.when(k % 10 == 0, "unresolved_scope").otherwise("settled").alias("review_outcome"),
+    )
+    results = o.where("o_orderkey % 9 <> 1").select(
+        *key, F.when(k % 11 == 0, d + 1).when(k % 13 == 0, None).otherwise(d).alias("denominator"), F.when(k % 13 == 0, "scope_ambiguous").when(k % 4 == 0, audit.CANDIDATE).otherwise(audit.MATCH).alias("status"),
+        F.lit(None).cast("string").alias("reason"), (k % 17 != 0).alias("anchored"),
+    )
+    return audit.run_metrics(annotations, results)
