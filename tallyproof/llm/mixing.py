@@ -5,24 +5,27 @@ doc_id, a documented bound), gives each document a posterior over domains. A doc
 and posterior p adds r t p to the domains' expected token totals when it is taken at rate r. The
 rates solve
 
-    minimise  (A r - T)' W (A r - T),  r >= 0,    A r = sum of r t p over all documents
+    minimise  (A r - T)' W (A r - T),  0 <= r <= MOST,    A r = sum of r t p over all documents
 
 by projected gradient steps from r = 1, accelerated (each step starts beyond the last rate by a part
 of the last change) and begun anew where the residual rises. T are the targets. Distances between
 rates are measured with the weight t, so that documents of equal posteriors get equal rates whatever
-their lengths: the gradient of a rate, t p' W (A r - T), is divided by t. W is the inverse of the sum
-of t p p' over all documents, which makes a step of length 1 exact where no rate meets 0. A step is
+their lengths: the gradient of a rate, t p' W (A r - T), is divided by t. W is the inverse of
+G + RIDGE tr(G) / K, G the sum of t p p' over all documents: so a step of length 1 is nearly exact
+where no rate meets an end, and a domain of hardly any texts doesn't outweigh the others. A step is
 one sum of 2 K numbers over all documents; the driver holds these and nothing else. A rate isn't
 stored between steps: the K + 1 numbers of each step, in order, give it from p in the next scan, in
 Spark's own functions.
 
+A domain can't have more than MOST times the tokens that it has now. What its weight asks beyond
+that goes to the others in proportion, so one without texts doesn't cost the others theirs.
+
 A document is taken floor(rate + u) times, u a hash of its doc_id in [0, 1).
 
 Defined results: null and empty texts have 0 tokens and the rate 1, since they weigh nothing;
-repeated rows get equal posteriors and rates; domains without a labelled row have posterior 0 and
-their weight goes to the others in proportion;
-without any labelled row posteriors are equal for all; targets out of reach are met as closely as
-least squares can in STEPS steps; an empty table gives an empty result; other columns are never read.
+repeated rows get equal posteriors and rates; domains without a labelled row have posterior 0;
+without any labelled row posteriors are equal for all; targets out of reach (for rates up to MOST) are
+met as closely as least squares can in STEPS steps; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ from tallyproof.llm.common import cut, docs_of, map_rows, ship_code
 U = np.uint64
 LABELLED = 20_000
 SLOTS = 1 << 17
+#: No document is taken more often than this on average: a domain of few texts isn't filled up by endless copies of them.
+MOST = 4.0
+RIDGE = 1e-3
 #: Steps at most; a relative residual below DONE ends them sooner, or a step that changes it by less than a part of STILL.
 STEPS, DONE, STILL = 60, 1e-9, 1e-6
 SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -171,7 +177,7 @@ def dot(p: Column, y: Column, k: int) -> Column:
     return total
 
 
-def states(steps: list[tuple[np.ndarray, float]], k: int, p: str = "p") -> Column:
+def states(steps: list[tuple[np.ndarray, float]], k: int, p: str = "p", most: float = MOST) -> Column:
     """(r, x) after these steps: the rate, and where the next step starts."""
     one = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("x"))
     if not steps:
@@ -180,27 +186,49 @@ def states(steps: list[tuple[np.ndarray, float]], k: int, p: str = "p") -> Colum
     made = F.expr("array(" + ", ".join(f"named_struct('y', array({', '.join(map(number, y))}), 'b', {number(b)})" for y, b in steps) + ")")
 
     def step(s, m):
-        new = F.greatest(F.lit(0.0), s["x"] - dot(F.col(p), m["y"], k))
+        new = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), s["x"] - dot(F.col(p), m["y"], k)))
         return F.struct(new.alias("r"), (new + m["b"] * (new - s["r"])).alias("x"))
 
     return F.aggregate(made, one, step)
 
 
-def rate(steps: list[tuple[np.ndarray, float]], k: int, p: str = "p") -> Column:
+def rate(steps: list[tuple[np.ndarray, float]], k: int, p: str = "p", most: float = MOST) -> Column:
     """The rate after these steps, from 1."""
-    return states(steps, k, p)["r"]
+    return states(steps, k, p, most)["r"]
+
+
+def norm_of(gram: np.ndarray) -> np.ndarray:
+    """W."""
+    k = len(gram)
+    return np.linalg.pinv(gram + RIDGE * np.trace(gram) / k * np.eye(k), hermitian=True)
+
+
+def targets_of(weights: list[float], now: list[float], most: float = MOST) -> list[float]:
+    """Tokens by domain: the weights' parts of all tokens, none above most times what there is; what that leaves goes to the others in proportion."""
+    want, free, left = [0.0] * len(now), set(range(len(now))), float(sum(now))
+    while free:
+        total = sum(weights[i] for i in free) or 1.0
+        want = [left * weights[i] / total if i in free else x for i, x in enumerate(want)]
+        full = {i for i in free if want[i] > most * now[i]}
+        if not full:
+            break
+        for i in full:
+            want[i] = most * now[i]
+        left -= sum(want[i] for i in full)
+        free -= full
+    return want
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list[tuple[np.ndarray, float]]:
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, most: float = MOST) -> list[tuple[np.ndarray, float]]:
     """The steps (change by posterior, part of it that the next one goes beyond) whose rates take expected token totals to the targets."""
     k, want = len(targets), np.array(targets, float)
     at = lambda i: F.get("p", F.lit(i))
     gram = rows.agg(*(F.sum(F.col("tokens") * at(i) * at(j)).alias(f"c{i}_{j}") for i in range(k) for j in range(k))).first()
-    weight = np.linalg.pinv(np.array([x or 0.0 for x in gram]).reshape(k, k), rcond=1e-12, hermitian=True)
+    weight = norm_of(np.array([x or 0.0 for x in gram]).reshape(k, k))
     made: list[tuple[np.ndarray, float]] = []
     since, last = 0, np.inf
     for _ in range(steps):
-        r = rows.select("tokens", "p", states(made, k).alias("s"))
+        r = rows.select("tokens", "p", states(made, k, most=most).alias("s"))
         got = r.agg(*(F.sum(F.col(f"s.{c}") * F.col("tokens") * at(i)).alias(f"{c}{i}") for c in "rx" for i in range(k))).first()
         got = np.array([x or 0.0 for x in got])
         off, ahead = got[:k] - want, got[k:] - want
@@ -226,7 +254,7 @@ def copies(r: Column, key: Column) -> Column:
 
 
 def mix(
-    df: DataFrame, labels: DataFrame, domain: Column, weights: list[float], relative: bool = False, key: str = "doc_id", text: str = "text"
+    df: DataFrame, labels: DataFrame, domain: Column, weights: list[float], relative: bool = False, key: str = "doc_id", text: str = "text", most: float = MOST
 ) -> DataFrame:
     """doc_id, tokens, p, rate and copies of each row.
 
@@ -237,8 +265,6 @@ def mix(
     model = fit_classifier(docs, labels, domain, k)
     rows = cut(memberships(docs, model))
     now = [x or 0.0 for x in rows.agg(*(F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(k))).first()]
-    weights = [w if relative or there else 0.0 for w, there in zip(weights, model.there, strict=True)]
-    total = sum(weights) or 1.0
-    targets = [w * x for w, x in zip(weights, now, strict=True)] if relative else [w / total * sum(now) for w in weights]
-    made = fit_rates(rows, targets)
-    return rows.withColumn("rate", rate(made, k)).withColumn("copies", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1))))
+    targets = [w * x for w, x in zip(weights, now, strict=True)] if relative else targets_of(weights, now, most)
+    made = fit_rates(rows, targets, most=most)
+    return rows.withColumn("rate", rate(made, k, most=most)).withColumn("copies", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1))))

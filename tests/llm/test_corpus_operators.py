@@ -367,18 +367,19 @@ def docs_text(docs):
 
 
 def dense_residual(p, t, want, rounds=50_000):
-    """The least weighted residual over nonnegative rates, by multiplicative updates on the nonnegative form of the normal equations."""
+    """The least weighted residual over rates from 0 to MOST, by multiplicative updates on the nonnegative form of the normal equations."""
     a = (p * t[:, None]).T
-    w = np.linalg.pinv((p * t[:, None]).T @ p)
+    gram = (p * t[:, None]).T @ p
+    w = np.linalg.inv(gram + 1e-3 * np.trace(gram) / 3 * np.eye(3))
     q, c = a.T @ w @ a, a.T @ w @ want
     plus, minus, r = np.maximum(q, 0), np.maximum(-q, 0), np.ones(len(t))
     for _ in range(rounds):
         up, down = plus @ r, minus @ r
-        r *= (c + np.sqrt(c * c + 4 * up * down)) / np.maximum(2 * up, 1e-300)
+        r = np.minimum(r * (c + np.sqrt(c * c + 4 * up * down)) / np.maximum(2 * up, 1e-300), mixing.MOST)
     return (a @ r - want) @ w @ (a @ r - want), a, w
 
 
-@pytest.mark.parametrize(("kind", "multiples"), [("spread", (2.0, 0.2, 0.6)), ("spread", (0.5, 1.5, 1.0)), ("two", (3.0, 0.0, 0.0)), ("two", (0.5, 1.5, 0.2))])
+@pytest.mark.parametrize(("kind", "multiples"), [("spread", (2.0, 0.2, 0.6)), ("spread", (0.5, 1.5, 1.0)), ("two", (3.0, 0.0, 0.0)), ("two", (0.5, 1.5, 0.2)), ("spread", (9.0, 9.0, 9.0))])
 def test_fitted_rates_against_a_dense_solver(spark, kind, multiples):
     """fit_rates on a table: targets in reach are met, others as closely as a dense solver does."""
     rng = np.random.default_rng(8)
@@ -395,12 +396,21 @@ def test_fitted_rates_against_a_dense_solver(spark, kind, multiples):
     off = a @ r - want
     assert (r >= 0).all() and len(made) <= mixing.STEPS
     assert off @ w @ off <= least * (1 + 1e-3) + 1e-6
-    if kind == "spread":
+    assert r.max() <= mixing.MOST
+    if multiples == (9.0, 9.0, 9.0):
+        assert np.allclose(r, mixing.MOST)
+    elif kind == "spread":
         assert np.abs(off).max() <= 1e-6 * want.max()
     elif multiples == (3.0, 0.0, 0.0):
         assert least > 1 and (r == 0).any()
 
 
+def test_targets_beyond_what_domains_can_have_go_to_the_others():
+    assert np.allclose(mixing.targets_of([0.8, 0.15, 0.05], [50, 30, 20], 4.0), [80, 15, 5])
+    assert np.allclose(mixing.targets_of([0.8, 0.15, 0.05], [89, 0, 11], 4.0), [100 * 0.8 / 0.85, 0, 100 * 0.05 / 0.85])
+    assert np.allclose(mixing.targets_of([0.5, 0.5], [99, 1], 4.0), [96, 4]) and mixing.targets_of([0.5, 0.5], [0, 0]) == [0, 0]
+
+
 def test_mixing_of_long_texts_and_repeated_doc_ids(spark, labelled):
     from tallyproof.llm.queries import domain
 
@@ -466,6 +476,7 @@ def test_pipeline(spark, tmp_path, documents, labelled):
             assert {r.doc_id: (r.text, r.n_chars) for r in after} == {i: (t, len(t)) for i, t in want.items() if t}
             cut_short = sum(want[r[0]] != r[1] for r in before)
         if name == "mixing":
+            assert len(after) <= (mixing.MOST + 1) * len(before)
             mixed = mixing.mix(now, spark.read.parquet(str(tmp_path / "labels.parquet")), domain(), list(WEIGHTS)).collect()
             assert Counter(r.doc_id for r in after) == Counter({r.doc_id: r.copies for r in mixed if r.copies})
         if name == "sentencepiece":
