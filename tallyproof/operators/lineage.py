@@ -123,3 +123,8 @@ def cycle_lengths(pointers: DataFrame) -> DataFrame:
         far *= 2
     size = now.groupBy("low").agg(F.count("*").alias("cycle_length"))
     return all_ids.join(now.join(size, "low").select("id", "cycle_length"), "id", "left")
+
+
+def distinct_captures(captures: DataFrame, key: str) -> DataFrame:
+    """(sha256, first_id, copies): captures of equal bytes are one, the least key stands for it."""
+    return captures.groupBy("sha256").agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))

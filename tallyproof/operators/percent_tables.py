@@ -45,6 +45,12 @@ def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("bigint")
 
 
+def printed_pairs(text: Column) -> Column:
+    """Array of (hit, numerator, reported_percent) of all n (p) in running text."""
+    hits = F.regexp_extract_all(text, F.lit(r"[0-9]{1,9} ?\([0-9]{1,3}(\.[0-9]{1,6})?%?\)"), F.lit(0))
+    return F.transform(hits, lambda x: F.struct(x.alias("hit"), F.regexp_extract(x, "^([0-9]+)", 1).cast("bigint").alias("numerator"), F.regexp_extract(x, r"\(([0-9.]+)", 1).alias("reported_percent")))
+
+
 def facts(text: Column) -> Column:
     """Values of all n = .. in a text."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FACT), F.lit(1)), number)

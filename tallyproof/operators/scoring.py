@@ -169,3 +169,26 @@ def family_gates(studies: DataFrame) -> DataFrame:
         F.when(F.col("complete") & F.col("computable") & (gate != "met_on_unverified_development_data"), "STATISTICAL_OR_PRACTICAL_THRESHOLD_NOT_MET"),
     ))
     return rows.withColumn("reasons", reasons).select("*", "t.*").drop("t")
+
+
+def regressions(runs: DataFrame, order: str, hits: str, n: str) -> DataFrame:
+    """Runs with those before them; one whose rate is lower (compared by cross products) regresses. One row a run, so one window holds few rows."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy(order)
+    before = runs.withColumns({"hits_before": F.lag(hits).over(w), "n_before": F.lag(n).over(w)})
+    return before.withColumn("regressed", F.coalesce(F.col(hits) * F.col("n_before") < F.col("hits_before") * F.col(n), F.lit(False)))
+
+
+def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(side, n): how many keys only the one frame has, only the other, and both."""
+    both = left.select(key, F.lit(True).alias("l")).join(right.select(key, F.lit(True).alias("r")), key, "full")
+    side = F.when(F.col("l").isNull(), "only_right").when(F.col("r").isNull(), "only_left").otherwise("both")
+    return both.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+def graded(rows: DataFrame, by: str, grade: str, low: int, high: int) -> DataFrame:
+    """Counts by a column and a grade, zeros included: every value is given all grades before the join."""
+    grades = F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"))).alias(grade)
+    n = rows.groupBy(by, grade).agg(F.count("*").alias("n"))
+    return rows.select(by).distinct().select(by, grades).join(n, [by, grade], "left").select(by, grade, F.coalesce("n", F.lit(0)).alias("n"))

@@ -137,13 +137,11 @@ g AS (SELECT *, lag(hits) OVER (ORDER BY run) AS hits_before, lag(n) OVER (ORDER
 SELECT run, hits, n, hits_before, n_before, coalesce(hits * n_before < hits_before * n, false) AS regressed FROM g""",
 )
 def regression_gate(spark, sf_dir):
-    """Runs in order; a run whose rate is below the one before (compared by cross products) regresses. One row a run, so one window."""
+    """Months as runs."""
     m = table(spark, sf_dir, "lineitem").groupBy(F.trunc("l_shipdate", "month").alias("run")).agg(
         F.count_if(F.col("l_returnflag") == "R").alias("hits"), F.count("*").alias("n")
     )
-    w = Window.orderBy("run")
-    g = m.withColumn("hits_before", F.lag("hits").over(w)).withColumn("n_before", F.lag("n").over(w))
-    return g.withColumn("regressed", F.coalesce(F.col("hits") * F.col("n_before") < F.col("hits_before") * F.col("n"), F.lit(False)))
+    return scoring.regressions(m, "run", "hits", "n")
 
 
 @query(
@@ -232,7 +230,7 @@ def byte_reuse(spark, sf_dir):
     "SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
 )
 def capture_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    return lineage.distinct_captures(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256")), "doc_id")
 
 
 @query(
@@ -266,20 +264,24 @@ def lineage_cycles(spark, sf_dir):
 @query(
     "denominator_conflicts",
     """
-WITH f AS (SELECT n_nationkey AS k, count(*) AS v, 'customer' AS role FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1
-  UNION ALL SELECT n_nationkey, count(*), 'supplier' FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1
-  UNION ALL SELECT n_nationkey, count(*), 'orders' FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-SELECT k, count(*) AS facts, count(DISTINCT v) AS distinct_values, count(DISTINCT v) > 1 AS conflicting FROM f GROUP BY k""",
+WITH n AS (SELECT n_nationkey AS k FROM nation),
+f AS (SELECT k, (SELECT count(*) FROM customer WHERE c_nationkey = k) AS c, (SELECT count(*) FROM supplier WHERE s_nationkey = k) AS s FROM n)
+SELECT CAST(k AS VARCHAR) AS doc_id, 3 AS facts, CASE WHEN s = c THEN 1 ELSE 2 END AS values, s <> c AS conflicting_facts, true AS denominator_is_printed FROM f WHERE c > 0""",
 )
 def denominator_conflicts(spark, sf_dir):
-    """Denominator facts of several sources for one scope; more than one value conflicts."""
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
-    facts = [nation.join(x, "k").groupBy("k").agg(F.count("*").alias("v")) for x in (customer, supplier, customer.join(orders, "c_custkey"))]
-    f = facts[0].unionByName(facts[1]).unionByName(facts[2])
-    return f.groupBy("k").agg(F.count("*").alias("facts"), F.countDistinct("v").alias("distinct_values"), (F.countDistinct("v") > 1).alias("conflicting"))
+    """Tables that print customers in caption and header and suppliers in a footnote."""
+    from tallyproof.operators import percent_tables, table_checks
+    from tallyproof.sources import articles
+
+    count = lambda t, k: table(spark, sf_dir, t).groupBy(F.col(k).alias("k")).agg(F.count("*").alias("n"))
+    both = count("customer", "c_nationkey").withColumnRenamed("n", "c").join(count("supplier", "s_nationkey").withColumnRenamed("n", "s"), "k", "left").na.fill(0)
+    xml = F.format_string(
+        "<article><body><table-wrap id='T1'><caption><p>Customers, N=%d</p></caption><table><thead><tr><th>Segment</th><th>Customers N=%d, n (%%)</th></tr></thead><tbody><tr><td>a</td><td>1 (0.5)</td></tr></tbody></table>"
+        "<table-wrap-foot><p>Suppliers: n = %d</p></table-wrap-foot></table-wrap></body></article>", "c", "c", "s",
+    )
+    docs = articles.layouts(both.select(F.col("k").cast("string").alias("doc_id"), F.encode(xml, "UTF-8").alias("content")))
+    found = table_checks.denominator_trace(percent_tables.relations(docs), articles.exploded(docs, "tables"))
+    return found.select("doc_id", F.col("facts").cast("int").alias("facts"), F.col("values").cast("int").alias("values"), "conflicting_facts", "denominator_is_printed")
 
 
 @query(
@@ -317,9 +319,7 @@ FROM customer c FULL OUTER JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c.c
 )
 def frame_coverage(spark, sf_dir):
     left, right = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_custkey").distinct()
-    both = left.join(right, left.c_custkey == right.o_custkey, "full")
-    side = F.when(F.col("c_custkey").isNull(), "only_right").when(F.col("o_custkey").isNull(), "only_left").otherwise("both")
-    return both.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+    return scoring.coverage(left, right.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query(
@@ -348,11 +348,9 @@ c AS (SELECT p_type, CAST(ceil(p_size / 10.0) AS BIGINT) AS grade, count(*) AS n
 SELECT d.p_type, s.grade, coalesce(n, 0) AS n FROM d CROSS JOIN s LEFT JOIN c USING (p_type, grade)""",
 )
 def screen_counts(spark, sf_dir):
-    """Counts by type and grade, zeros included: every type is given all five grades before the join."""
+    """Parts by type and grade of size."""
     part = table(spark, sf_dir, "part").select("p_type", F.ceil(F.col("p_size") / F.lit(10.0)).cast("bigint").alias("grade"))
-    frame = part.select("p_type").distinct().select("p_type", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"))).alias("grade"))
-    n = part.groupBy("p_type", "grade").agg(F.count("*").alias("n"))
-    return frame.join(n, ["p_type", "grade"], "left").select("p_type", "grade", F.coalesce("n", F.lit(0)).alias("n"))
+    return scoring.graded(part, "p_type", "grade", 1, 5)
 
 
 @query(
@@ -508,9 +506,9 @@ WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,9} ?\([0-9]{1
 SELECT doc_id, hit, CAST(regexp_extract(hit, '^([0-9]+)', 1) AS BIGINT) AS numerator, regexp_extract(hit, '\(([0-9.]+)', 1) AS reported_percent FROM m""",
 )
 def count_percent_extract(spark, sf_dir):
-    hits = F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,9} ?\([0-9]{1,3}(\.[0-9]{1,6})?%?\)"), F.lit(0)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hit"))
-    return rows.select("doc_id", "hit", F.regexp_extract("hit", "^([0-9]+)", 1).cast("bigint").alias("numerator"), F.regexp_extract("hit", r"\(([0-9.]+)", 1).alias("reported_percent"))
+    from tallyproof.operators import percent_tables
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(percent_tables.printed_pairs(F.col("text"))).alias("x")).select("doc_id", "x.*")
 
 
 @query(
