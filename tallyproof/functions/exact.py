@@ -63,15 +63,17 @@ def ratio_text(n, d) -> Column:
     return F.concat((100 * big(n)).cast("string"), F.lit("/"), big(d).cast("string"))
 
 
+def print_status(n, d, reported: Column) -> Column:
+    """Does a printed percentage equal its recomputation, above 100 and for any count; null where the text is no printed number."""
+    same = percent_units(n, d, decimals_of(reported)) == scaled(reported)
+    return F.when(same, F.lit("arithmetic_match")).when(~same, F.lit("arithmetic_mismatch_candidate"))
+
+
 def percent_status(n, d, reported: Column) -> Column:
     """Does a printed percentage equal its recomputation; outside the domain there is no verdict."""
     p = decimals_of(reported)
     known = in_domain(n, d, p) & (scaled(reported) <= 100 * power_of_ten(p))
-    return (
-        F.when(~F.coalesce(known, F.lit(False)), F.lit("scope_ambiguous"))
-        .when(percent_units(n, d, p) == scaled(reported), F.lit("arithmetic_match"))
-        .otherwise(F.lit("arithmetic_mismatch_candidate"))
-    )
+    return F.when(~F.coalesce(known, F.lit(False)), F.lit("scope_ambiguous")).otherwise(print_status(n, d, reported))
 
 
 def ceil_div(a: Column, b: Column) -> Column:

@@ -60,6 +60,27 @@ def test_lattice_overrides(spark):
         assert (r.reason, r.denominator) == (r.want, r.want_d), r.k
 
 
+def test_lattice_query_judges_prints_above_hundred(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyproof.functions import exact
+    from tallyproof.plans import records
+
+    counts = {("1-URGENT", "F"): 20001, ("1-URGENT", "O"): 20002, ("1-URGENT", "P"): 5, ("2-HIGH", "X"): 3, ("3-MEDIUM", "Q"): 2, ("4-NOT SPECIFIED", "F"): 1, ("5-LOW", "O"): 1}
+    cells = spark.createDataFrame([(*k, n) for k, n in counts.items()], "o_orderpriority string, o_orderstatus string, n int")
+    cells.select("o_orderpriority", "o_orderstatus", F.explode(F.sequence(F.lit(1), "n"))).drop("col").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.o_orderpriority[0], r.o_orderstatus): (r.denominator, r.status) for r in records.pct_scope_lattice(spark, str(tmp_path)).collect()}
+    match, off, unclear = "arithmetic_match", "arithmetic_mismatch_candidate", "scope_ambiguous"
+    assert got == {
+        ("1", "F"): (20011, off), ("1", "O"): (20012, match), ("1", "P"): (15, off), ("2", "X"): (3, off),
+        ("3", "Q"): (sum(counts.values()), match), ("4", "F"): (None, unclear), ("5", "O"): (None, unclear),
+    }
+    # The detector's limits stay: no verdict above 100 or beyond the largest count.
+    rows = spark.createDataFrame([(3, 3, "100.1"), (10**9, 2 * 10**9, "50.0"), (1, 2, "50.1"), (1, 2, "fifty")], "n bigint, d bigint, said string")
+    said = rows.select(exact.print_status("n", "d", F.col("said")), exact.percent_status("n", "d", F.col("said"))).collect()
+    assert [tuple(r) for r in said] == [(off, unclear), (match, unclear), (off, off), (None, unclear)]
+
+
 def test_prisma(spark):
     said = "A PRISMA review. Records identified: {}; duplicates removed ({}), record screened: {}."
     rows = [
